@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from epochal.llm import quality
+from epochal.llm import mixing, quality, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_stratified_sharding": sharding.op3_stratified_sharding,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_url_filters": urls.op10_url_filters,
 }
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+    "op10_url_filters": urls.OP10_SQL,
 }
