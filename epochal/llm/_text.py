@@ -51,11 +51,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class RangeHash:
     """Hash of any byte range of one chunk. The hash depends on the bytes and the length only."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = _BYTE):
+    def __init__(self, data: np.ndarray):
+        """data: bytes, or uint64 hashes of larger units."""
         n = len(data)
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum(values[data] * up[:n], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * up[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from epochal.llm import jaccard, mixing, quality, sharding, urls
+from epochal.llm import jaccard, mixing, quality, sharding, spans, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_stratified_sharding": sharding.op3_stratified_sharding,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
 }
