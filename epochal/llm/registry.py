@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from epochal.llm import jaccard, mixing, quality, sharding, spans, urls
+from epochal.llm import hpylm, jaccard, mixing, quality, sharding, spans, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_lm_scoring": hpylm.op2_lm_scoring,
     "op3_stratified_sharding": sharding.op3_stratified_sharding,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op8_sentence_spans": spans.op8_sentence_spans,
