@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from epochal.llm import hpylm, jaccard, mixing, pieces, quality, sharding, spans, urls
+from epochal.llm import hpylm, jaccard, mixing, neighbours, pieces, quality, sharding, spans, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_lm_scoring": hpylm.op2_lm_scoring,
     "op3_stratified_sharding": sharding.op3_stratified_sharding,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_mixing": mixing.op9_mixing,
