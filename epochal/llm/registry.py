@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epochal.llm import hpylm, jaccard, mixing, neighbours, pieces, quality, sharding, spans, urls
+from epochal.llm import hpylm, jaccard, mixing, neighbours, pieces, quality, sharding, spans, suffixes, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
