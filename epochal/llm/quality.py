@@ -100,7 +100,8 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
     """
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept"]
     rest = [c for c in docs.columns if c.lower() not in mine]
-    m = docs.select(*(F.col(f"`{c}`") for c in rest), measures(F.col(f"`{text}`")).alias("__m"))
+    # exploded, not projected: a filter on the verdict would be pushed into a projection and evaluate the measures again
+    m = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(measures(F.col(f"`{text}`")))).alias("__m"))
     n = F.greatest(F.col("__m.n_words"), F.lit(1))
     value = {
         "n_words": F.col("__m.n_words"),
