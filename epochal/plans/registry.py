@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from epochal.plans import temporal
+from epochal.plans import retrieval, temporal
 
-_PARTS = (temporal,)
+_PARTS = (temporal, retrieval)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
