@@ -1,0 +1,392 @@
+"""Every operator against a brute-force version, on a fixture with nulls, empty and long texts, ties, copies and extra columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, fp string"
+
+
+def rows():
+    passage = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu nu xi omicron pi rho sigma tau upsilon phi! Chi psi omega one two three four five six seven."
+    base = " ".join(f"w{i}" for i in range(200))
+    near = base.replace("w150", "changed")
+    out = [
+        (1, base, "en", "src0"), (2, near, "en", "src0"), (3, base, "de", "src1"), (4, None, None, None), (5, "", "en", "src1"),
+        (6, f"First own words here. {passage} The end of this one.", "en", "src2"), (7, f"Other start\n{passage}\nand other end", "fr", "src11"),
+        (8, "the of " * 30, "en", "src12"), (9, "short", "en", "src0"), (10, "SHORT", "en", "src0"), (11, "a b", "en", "src0"),
+        (12, "long " + " ".join(f"t{i % 977}" for i in range(30_000)), "en", "src3"), (13, "Ünïcode ▁ 日本語 🙂\ttab\x0bvt", "xx", "weird"),
+        (14, "### $$$ | | * junk% " * 20, "en", "src0"), (15, "\n\n  \n", "en", "src0"), (16, passage, "en", "src2"), (17, passage, "en", "src2"),
+        (18, " leading and trailing  ", "en", "src2"), (19, "one line\none line\none line\n" * 5, "en", "src2"),
+    ]
+    return [(*r, len(r[1] or ""), "clash", "clash") for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def some(spark, sf):
+    """Documents of the smallest table, the fixture's under other ids, and its first rows once more."""
+    from pyspark.sql import functions as F
+
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    own = spark.createDataFrame(rows(), SCHEMA).drop("kept", "fp").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    return real.unionByName(own).checkpoint()
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def test_quality(docs):
+    from epochal.llm.quality import quality_rules
+
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert len(got) == docs.count() and "lang" in quality_rules(docs).columns
+    for i, text in pairs(docs):
+        w = WORD.findall(text or "")
+        windows = defaultdict(list)
+        for k in range(len(w) - 7):
+            windows[tuple(w[k : k + 8])].append(k)
+        rep = {p for v in windows.values() if len(v) > 1 for k in v for p in range(k, k + 8)}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(rep),
+        ), i
+        assert r.base_failed == (len(w) < 20 or 100 * len(rep) > 30 * len(w))
+        assert not (r.kept and r.base_failed)
+    assert quality_rules(docs.limit(0)).count() == 0
+    assert quality_rules(docs).where("kept").count() == sum(r.kept for r in got.values())
+
+
+def test_language_model(some):
+    from epochal.llm.hpylm import language_model
+
+    got = language_model(some, slices=4).collect()
+    assert sorted(r.id for r in got) == sorted(i for i, _ in pairs(some))
+    tokens = {i: [x.translate(LOW) for x in WORD.findall(t or "")] + ["\n"] for i, t in pairs(some)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = Counter(x for i, t in tokens.items() if not held[i] for x in t)
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        t = tokens[r.id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.id], len(t), sum(c[x] > 0 for x in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel_tol=1e-9)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)  # better than the unigram model on held-out texts
+
+
+def test_language_model_probabilities_sum_to_one():
+    from epochal.llm import hpylm as H
+
+    w = np.sort(H.mix64(np.arange(1, 40, dtype=np.uint64)))
+    c = np.arange(1, 40)
+    state = [w, np.array([5], np.uint32), np.arange(39), np.zeros(39, np.int64), np.zeros(39, np.int64), c, np.minimum(c, 1), np.ones(39, np.int64)]
+    x = H.Dishes(state)
+    g = H.Totals([x.totals()])
+    x.t2 = H._seat(x.c2, np.full(39, (1 + g.d2 * g.T2[0]) * 0.02), g.d2, np.random.default_rng(0))
+    assert ((x.t2 >= 1) & (x.t2 <= c)).all()
+    g = H.Totals([x.totals()])
+    p0 = H._p0(x.c0(x.t1), g)
+    p1 = (x.c1(x.t2) - g.d1 * x.t1) / (1 + g.C1[0]) + g.new1[0] * p0
+    p2 = (x.c2 - g.d2 * x.t2) / (1 + g.C2[0]) + g.new2[0] * p1
+    unknown = g.new2[0] * g.new1[0] * g.new0
+    assert math.isclose(p2.sum() + unknown, 1.0, rel_tol=1e-9)
+
+
+def test_empty_tables(docs):
+    from epochal.llm import hpylm, jaccard, mixing, neighbours, pieces, sharding, spans, suffixes, urls
+
+    none = docs.limit(0)
+    assert hpylm.language_model(none, slices=2).count() == 0
+    assert sharding.interleave(none, 4).count() == 0
+    assert pieces.encode_pieces(none).count() == 0
+    assert jaccard.jaccard_components(none).count() == 0
+    assert suffixes.remove_repeated_bytes(none).count() == 0
+    assert spans.remove_repeated_spans(none).count() == 0
+    assert mixing.mix(none, mixing.corpus_levels()).count() == 0
+    spark = docs.sparkSession
+    assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    v = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(v, v).count() == 0
+
+
+def test_sharding(docs):
+    from epochal.llm.sharding import interleave
+
+    twice = docs.union(docs)
+    got = interleave(twice, 4).collect()
+    text = dict(pairs(docs))
+    n = Counter(r.shard for r in got)
+    assert len(got) == 2 * len(text) and max(n.values()) - min(n.values()) <= 1
+    for s in n:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
+    for r in got:
+        b = (text[r.id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(b) + 1, zlib.crc32(b))
+    assert {(r.id, r.shard, r.slot) for r in got} == {(r.id, r.shard, r.slot) for r in interleave(twice.repartition(7), 4).collect()}
+
+
+def test_sharding_mixture(spark):
+    from epochal.llm.sharding import interleave
+
+    df = spark.range(4000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 10) END AS source")
+    got = interleave(df, 8).collect()
+    for s in {r.stratum for r in got}:
+        share = Counter(r.shard for r in got if r.stratum == s)
+        assert max(share.values()) - min(share[k] for k in range(8)) <= 2
+
+
+def test_pieces(docs):
+    import sentencepiece
+
+    from epochal.llm import pieces as P
+
+    got = {r.doc_id: r for r in P.encode_pieces(docs).collect()}
+    assert got[4].pieces is None and got[5].pieces == [] and all(r.lossless for r in got.values())
+    again = {r.doc_id: r.pieces for r in P.encode_pieces(docs.repartition(5)).collect()}
+    assert all(again[i] == got[i].pieces for i in got)
+    plain = {r.doc_id: r.pieces for r in P.encode_pieces(docs, rate=0.0).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    for i, t in pairs(docs):
+        if t is not None and "▁" not in t:
+            assert plain[i] == sp.encode(t), i
+    assert plain[12] != got[12].pieces and len(got[12].pieces) > len(plain[12])
+    decoded = {r.doc_id: r.text for r in P.decode_pieces(P.encode_pieces(docs)).collect()}
+    assert decoded == dict(pairs(docs))
+
+
+def test_pieces_heap_and_arrays_agree():
+    from epochal.llm import pieces as P
+
+    proto = open(P.MODEL, "rb").read()
+    texts = [(r[1] or "")[:3000].encode() for r in rows()]
+    a, b = P.Encoder(proto, 0.2), P.Encoder(proto, 0.2, wide=2)
+    assert np.array_equal(a.encode(texts, list(range(len(texts))))[0], b.encode(texts, list(range(len(texts))))[0])
+
+
+def test_neighbours(spark):
+    from epochal.llm.neighbours import nearest
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(400, 24)).astype("float32")
+    v[10:40] = v[10]
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    odd = [(900, None), (901, []), (902, [0.0] * 24), (903, [float("nan")] * 24), (904, [None] + [1.0] * 23), (905, [1.0, 2.0]), (906, [float("inf")] * 24)]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in nearest(df, df.where("vec_id % 20 = 0 OR vec_id >= 900")).collect():
+        got[r.query_id].append((r.rank, r.score, r.id))
+    assert set(got) == {i for i in range(0, 400, 20)}  # the short vector 905 has no candidates of its length
+    x, hits = v.astype(float), 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = sorted((d[i], i) for i in range(400) if i != q)[:10]
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 11)) and [(s, i) for _, s, i in found] == sorted((s, i) for _, s, i in found)
+        assert all(abs(s - d[i]) < 1e-12 for _, s, i in found)
+        hits += len({i for _, i in best} & {i for _, _, i in found})
+    assert hits >= 0.9 * 10 * len(got)
+    few = spark.createDataFrame(data[:4], "vec_id long, embedding array<float>")
+    assert nearest(few, few.where("vec_id = 0")).count() == 3
+
+
+def components(sets, num, den):
+    ids = list(sets)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if den * both >= num * len(sets[a] | sets[b]) and find(a) != find(b):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("k,percent,tokens", [(3, 90, None), (5, 80, 300)])
+def test_jaccard(some, monkeypatch, k, percent, tokens):
+    from epochal.llm import jaccard as J
+
+    if tokens:
+        monkeypatch.setattr(J, "FAMILY_TOKENS", tokens)  # families in blocks
+    got = {r.id: r for r in J.jaccard_components(some, k=k, percent=percent).collect()}
+    sets = {}
+    for i, t in pairs(some):
+        w = [x.translate(LOW) for x in WORD.findall(t or "")]
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    want = components(sets, percent, 100)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_jaccard_family_of_near_copies(spark):
+    """Copies of a template, each edited elsewhere: linked to it, not to each other."""
+    from epochal.llm.jaccard import jaccard_components
+
+    base = [f"w{i}" for i in range(300)]
+    data = [(0, " ".join(base), "x")]
+    for i in range(1, 60):
+        own = list(base)
+        for j in range(3):
+            own[(i * 37 + j * 97) % 300] = f"e{i}_{j}"
+        data.append((i, " ".join(own), "x"))
+    got = jaccard_components(spark.createDataFrame(data, "doc_id long, text string, root string"), k=3, percent=90).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("heavy", [100_000, 2])
+def test_suffixes(some, heavy):
+    from epochal.llm.suffixes import brute_force, remove_repeated_bytes
+
+    want = brute_force(pairs(some))
+    for r in remove_repeated_bytes(some, heavy=heavy).collect():
+        sha = hashlib.sha256(r.kept).hexdigest() if r.kept is not None else r.sha
+        assert (r.n_bytes, r.n_removed, r.n_spans, sha) == want[r.id], r.id
+
+
+def test_suffixes_repeated_rows(spark):
+    from epochal.llm.suffixes import remove_repeated_bytes
+
+    text = "x" * 40 + "".join(chr(97 + i * 7 % 26) for i in range(80))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "short")], "doc_id long, text string")
+    got = sorted((r.id is None, r.id or 0, r.n_removed, r.n_spans) for r in remove_repeated_bytes(df).collect())
+    assert got == [(False, 1, 0, 0), (False, 1, 0, 0), (False, 2, 120, 1), (False, 3, 0, 0), (True, 0, 120, 1)]
+
+
+def test_loser_tree_merges_in_order():
+    from epochal.llm import suffixes as S
+
+    rng = np.random.default_rng(3)
+    every, packed = [], []
+    for _ in range(5):
+        m = np.zeros((int(rng.integers(1, 40)), S.WIDTH), np.uint8)
+        m[:, : S.WIDTH] = rng.integers(97, 99, m.shape)
+        m = m[np.argsort(S._as_strings(m), kind="stable")]
+        every += [x.tobytes() for x in m]
+        lcp = np.zeros(len(m), np.uint8)
+        for i in range(1, len(m)):
+            d = np.flatnonzero(m[i] != m[i - 1])
+            lcp[i] = d[0] if len(d) else S.WIDTH
+        tail = m[np.arange(S.WIDTH)[None, :] >= lcp[:, None]]
+        packed.append(S.Run([lcp, tail, np.zeros(len(m), np.uint64), np.zeros(len(m), np.int64), np.zeros(len(m), np.uint32)]))
+    out, last = [], b""
+    for h, r in S.merge(packed):
+        assert r.text[:h] == last[:h] and (not out or h == S.WIDTH or r.text[h] != last[h])
+        out.append(r.text)
+        last = r.text
+    assert out == sorted(every)
+
+
+def test_spans(some):
+    from epochal.llm.spans import brute_force, hash_of, remove_repeated_spans
+
+    want = brute_force(pairs(some))
+    got = {r.doc_id: r for r in remove_repeated_spans(some).collect()}
+    assert {i: hash_of(r.text) for i, r in got.items()} == {i: hash_of(t) for i, t in want.items()}
+    assert got[1_000_004].text is None and got[1_000_007].n_removed > 0 and "Alpha" not in got[1_000_016].text
+
+
+def water(nodes, budget):
+    """nodes: {name: (weight, capacity)} -> quotas, by raising the level until the budget is used."""
+    left, out, open_ = budget, dict.fromkeys(nodes, 0.0), {k for k, (w, c) in nodes.items() if c > 0}
+    while open_ and left > 1e-9:
+        level = left / sum(nodes[k][0] for k in open_)
+        full = {k for k in open_ if nodes[k][1] - out[k] <= level * nodes[k][0]}
+        for k in full or open_:
+            out[k] = nodes[k][1] if full else out[k] + level * nodes[k][0]
+        left = budget - sum(out.values())
+        open_ -= full
+        if not full:
+            break
+    return out
+
+
+def test_water_fill(spark):
+    from pyspark.sql import functions as F
+
+    from epochal.llm.mixing import water_fill
+
+    nodes = {"a": (1.0, 10.0), "b": (3.0, 500.0), "c": (2.0, 40.0), "d": (1.0, 0.0)}
+    df = spark.createDataFrame([("p", k, w, c) for k, (w, c) in nodes.items()], "parent string, __node string, weight double, capacity double")
+    for budget in (0.0, 30.0, 200.0, 9_999.0):
+        got = {r["__node"]: r.quota for r in water_fill(df, ["parent"], F.lit(budget)).collect()}
+        want = water(nodes, budget)
+        assert all(math.isclose(got[k], want[k], abs_tol=1e-6) for k in nodes), budget
+
+
+def test_mixing(docs):
+    from epochal.llm.mixing import corpus_levels, mix
+
+    clean = docs.where("length(text) > 20")
+    got = mix(clean, corpus_levels(), {"language": {"en": 2.0}}, 1.0, 3).collect()
+    seen = Counter((r.doc_id, r["__epoch"]) for r in got)
+    assert max(seen.values()) == 1 and max(e for _, e in seen) <= 2
+    for i in {i for i, _ in seen}:
+        epochs = sorted(e for j, e in seen if j == i)
+        assert epochs == list(range(len(epochs)))
+    assert mix(docs, corpus_levels(), {}, 1.0, 1).columns == [*docs.columns, "__epoch"]
+    assert mix(docs, corpus_levels(), {}, 1.0, 1).where("doc_id = 4").count() in (0, 1)
+
+
+def test_urls(spark):
+    from epochal.llm.urls import judge_urls
+
+    data = [
+        (1, "http://A.Example.ORG/en/2"), (2, "https://x.example.org/es/1?q"), (3, "https://x.example.org/en/10"), (4, "http://a.com/fr/x#y"),
+        (5, "http://a.com/de/x"), (6, None), (7, "no scheme/org/"), (8, "http://b.net?x=/org/"), (9, "http://evilorg/"), (10, "http://org"),
+        (11, "http://org/x"), (12, "http://h/a://b/c"), (1, "http://A.Example.ORG/en/2"),
+    ]
+    data += [(100 + i, "http://bad.com/de/x") for i in range(50)] + [(200, "http://bad.com/en/x")] + [(300 + i, "http://good.com/fr/x") for i in range(50)] + [(400, "http://good.com/en/")]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame([(*d, "z") for d in data], "page_id long, url string, verdict string")).collect()}
+    rule = {i: got[i].rule for i in range(1, 13)}
+    assert rule == {1: "org/", 2: "example.org/es/", 3: "example.org/en/1", 4: "com/fr/", 5: "com/de/", 6: None, 7: None, 8: None, 9: None, 10: None, 11: "org/", 12: None}
+    assert (got[1].host, got[1].path, got[6].host, got[7].host, got[8].host, got[8].path, got[12].host, got[12].path) == ("a.example.org", "/en/2", "", "", "b.net", "", "h", "/a://b/c")
+    assert (got[2].verdict, got[5].verdict, got[4].verdict) == ("block", "block", "allow")
+    assert got[200].verdict == "block" and got[400].verdict == "allow"
+
+
+def test_components(spark):
+    from epochal.llm._components import components
+
+    rng = np.random.default_rng(0)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    root = {x: x for p in e for x in p}
+    for _ in range(300):
+        for a, b in e:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.v: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
+    groups = defaultdict(set)
+    for v, r in got.items():
+        groups[r].add(root[v])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({root[v] for v in got})
+
+
+def test_pipeline(spark, tmp_path, some):
+    import corpus_pipeline as C
+
+    some.write.parquet(str(tmp_path / "documents.parquet"))
+    names = some.columns
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(C.STAGES):
+        docs = stage(spark, docs, str(tmp_path)).checkpoint()
+        assert i == len(C.STAGES) - 1 or docs.columns == names
+    assert docs.count() > 0 and docs.where("NOT lossless").count() == 0
+    again = C.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in docs.collect())
