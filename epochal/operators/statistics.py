@@ -23,7 +23,7 @@ def mid_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
 def guarded_corr(a: str, b: str) -> Column:
     """Pearson; null for under two rows or a constant side (O192)."""
     fine = (F.count("*") > 1) & (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
-    return F.when(fine, F.corr(a, b))
+    return F.when(fine, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from epochal.plans import evaluation, retrieval, temporal
+from epochal.plans import evaluation, language, retrieval, temporal
 
-_PARTS = (temporal, retrieval, evaluation)
+_PARTS = (temporal, retrieval, evaluation, language)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

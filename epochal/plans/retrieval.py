@@ -191,7 +191,6 @@ _DENSE_SQL = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x:
 ds AS (SELECT a.vec_id AS qid, b.vec_id, a.label AS wanted, b.label, round(list_dot_product(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"""
 _TOP = lambda src, order, k, cols="*": f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM {src}) WHERE rank <= {k}"
 _LOG2 = "1.0::DOUBLE / log2(rank + 1.0::DOUBLE)"
-_CNT = "CAST((SELECT coalesce(sum(least(len(list_filter({a}, lambda y: y = x.t)), len(list_filter({b}, lambda y: y = x.t)))), 0) FROM (SELECT unnest(list_distinct(list_intersect({a}, {b}))) AS t) x) AS DOUBLE)"
 _F1 = lambda o, a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN {o} = 0 THEN 0.0 ELSE 2.0 * ({o} / len({a})) * ({o} / len({b})) / (({o} / len({a})) + ({o} / len({b}))) END"
 SQL = {
     "answer_scores": f"""WITH {_PAIRS_SQL}, n AS (SELECT conv_id, turn, {_norm_sql('candidate')} AS c, {_norm_sql('reference')} AS r FROM pairs),
@@ -200,7 +199,7 @@ y AS (SELECT *, CASE WHEN len(a) < 2 THEN [] ELSE list_transform(range(1, len(a)
 e AS (SELECT conv_id, turn, 1 AS k, unnest(a) AS t, 1 AS s, 0 AS z FROM y UNION ALL SELECT conv_id, turn, 1, unnest(b), 0, 1 FROM y UNION ALL SELECT conv_id, turn, 2, unnest(g), 1, 0 FROM y UNION ALL SELECT conv_id, turn, 2, unnest(h), 0, 1 FROM y),
 o AS (SELECT conv_id, turn, coalesce(sum(m) FILTER (WHERE k = 1), 0)::DOUBLE AS o1, coalesce(sum(m) FILTER (WHERE k = 2), 0)::DOUBLE AS o2 FROM (SELECT conv_id, turn, k, t, least(sum(s), sum(z)) AS m FROM e GROUP BY ALL) GROUP BY ALL)
 SELECT conv_id, turn, CASE WHEN c = r THEN 1.0::DOUBLE ELSE 0.0 END AS exact, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 THEN 0.0 ELSE coalesce(o1, 0) / len(a) END, 6) AS precision,
-round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(b) = 0 THEN 0.0 ELSE coalesce(o1, 0) / len(b) END, 6) AS recall, round(({_F1('coalesce(o1, 0)', 'a', 'b')})::DOUBLE, 6) AS f1, round(({_F1('coalesce(o2, 0)', 'g', 'h')})::DOUBLE, 6) AS rouge2 FROM y LEFT JOIN o USING (conv_id, turn)""",
+round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(b) = 0 THEN 0.0 ELSE coalesce(o1, 0) / len(b) END, 6) AS recall, round(({_F1('coalesce(o1, 0)', 'a', 'b')})::DOUBLE, 6) AS f1, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE ({_F1('coalesce(o2, 0)', 'g', 'h')})::DOUBLE END, 6) AS rouge2 FROM y LEFT JOIN o USING (conv_id, turn)""",
     "text_normal_forms": f"""SELECT conv_id, turn, {_norm_sql('text')} AS answer, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS visible, CAST(len({_TOK('text')}) AS INT) AS n_tokens,
 regexp_matches(lower(text), '{'|'.join(f'({p})' for p in T.REFUSALS).replace("'", "''")}') AS refusal FROM conversations""",
     "shingle_counts": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)
