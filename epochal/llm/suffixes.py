@@ -2,7 +2,8 @@
 
 The suffixes of 100 TB can't be exchanged one by one. Three facts keep the sort small and the result whole.
 - Every window of WINDOW bytes holds the same minimizer wherever it stands: the k-gram of smallest hash among its starts, its
-  anchor. A window can only repeat if its anchor's k-gram is in two texts; k-grams of one text are dropped after a count.
+  anchor. A window can only repeat if its anchor's k-gram is in two texts; k-grams of one text are dropped after a count,
+  by a bitmap of bounded size (where it fills up, more entries are exchanged and none is lost).
 - One entry serves all windows of an anchor (about 14): the suffix from the anchor, then the text before it read backwards,
   as far as its windows reach. Equal entries hold equal windows.
 - Equal texts are one text, of the smallest id; its copies are removed whole.
@@ -36,6 +37,8 @@ WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM  # bytes before the anchor that a window may start
 WIDTH = 1 + WINDOW + REACH + 2  # kind, suffix, text before, first and last offset
 HEAVY, FLUSH, NO_ID = 100_000, 3_000_000, np.iinfo(np.int64).max
+#: Bits (as a power of two) of the bitmaps of shared k-grams, and of marked texts.
+MAX_BITS, MARK_BITS = 28, 22
 _LOW = U((1 << 40) - 1)
 
 
@@ -133,51 +136,43 @@ def _deal(n_slices: int):
     return run
 
 
-def _shared(n_slices: int, heavy: int):
-    """To each slice of texts: fingerprints, numbers of their shared k-grams, codes (top bit: heavy)."""
+def _segments(n_slices: int, bits: int, heavy: int):
+    """The slice's part of two bitmaps: k-grams of two texts or more, and of more than ``heavy``."""
 
     def fn(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(b) for b in blobs]
         fp = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
-        code = np.concatenate([x[2].astype(U) | x[3].astype(U) << U(32) for x in parts]) | U(s) << U(40)
+        code = np.concatenate([x[2].astype(U) | x[3].astype(U) << U(32) for x in parts])
         order = np.lexsort((fp, code))
         fp, code = fp[order], code[order]
         new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (code[1:] != code[:-1])])
-        fp, code = fp[new], code[new]
-        size = np.repeat(runs(code)[1], runs(code)[1])
-        keep = size > 1
-        code = code | (size > heavy).astype(U) << U(63)
-        fp, code = fp[keep], code[keep]
-        order = np.argsort(fp, kind="stable")
-        fp, code = fp[order], code[order]
-        first, size = runs(fp)
-        where, bounds = cut_by(slice_of(fp[first], n_slices), n_slices)
+        first, size = runs(code[new])
+        code = code[new][first]
+        out = []
+        for least in (1, heavy):
+            mark = np.zeros(bits, bool)
+            mark[_bit(code[size > least], bits)] = True
+            out.append(np.packbits(mark))
+        yield from batches([(s, pack(*out))])
 
-        def rows():
-            for t in range(n_slices):
-                x = where[bounds[t] : bounds[t + 1]]
-                if len(x):
-                    yield t, pack(fp[first[x]], size[x].astype(np.uint32), code[ragged(first[x], size[x])])
+    return fn
 
-        yield from batches(rows())
 
-    return fn
+def _bit(code: np.ndarray, bits: int) -> np.ndarray:
+    """Place of a code's lower 40 bits in its slice's part of a bitmap."""
+    return (((code & _LOW) >> U(8)) * U(bits) >> U(32)).astype(np.int64)
 
 
-def _lists(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """(fp, codes) of each text that shares k-grams."""
-    parts = [unpack(b) for b in blobs]
-    fp = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
-    code = np.concatenate([x[2] for x in parts])
-    order = np.argsort(fp, kind="stable")
-    fp, code = fp[order], code[order]
-    first, size = runs(fp)
-    for x in np.array_split(np.arange(len(first)), max(1, len(code) // 500_000)):
-        if len(x):
-            yield pa.record_batch(
-                [pa.array(signed(fp[first[x]])), pa.array([code[f : f + n].tobytes() for f, n in zip(first[x].tolist(), size[x].tolist(), strict=True)], pa.binary())],
-                ["fp", "codes"],
-            )
+class Shared:
+    """The bitmaps as the driver has gathered them: slices by bytes. Hash collisions only let too many k-grams through."""
+
+    def __init__(self, n_slices: int, bits: int):
+        self.n, self.bits = n_slices, bits
+        self.maps = np.zeros((2, n_slices, bits // 8), np.uint8)
+
+    def test(self, which: int, code: np.ndarray) -> np.ndarray:
+        at = _bit(code, self.bits)
+        return (self.maps[which, (code >> U(40)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _bitmap(bits: int):
@@ -192,30 +187,34 @@ def _bitmap(bits: int):
     return run
 
 
-def _filter(sent, bits: int):
+def _marked(sent, bits: int, wanted: bool):
+    """Rows (fp, ...) whose fingerprint is in the bitmap (or, not wanted, is not)."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = _fingerprints(to_bytes(b.column(1)))
-            keep = sent.value[(fp >> U(64 - bits)).astype(np.int64)]
-            out = pa.RecordBatch.from_arrays([pa.array(signed(fp)), b.column(0), b.column(1)], ["fp", "id", "text"])
-            yield out.filter(pa.array(keep))
+            fp = b.column("fp").to_numpy(zero_copy_only=False).view(U)
+            yield b.filter(pa.array(sent.value[(fp >> U(64 - bits)).astype(np.int64)] == wanted))
 
     return run
 
 
-def _entries(a: Anchors, code: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Rows of WIDTH bytes for the anchors whose k-gram is shared: (rows, doc, place in the doc: anchor or window, offset)."""
-    picked, is_heavy = [], []
-    bounds = np.searchsorted(a.doc, np.arange(len(lists) + 1))
-    for d, own in enumerate(lists):
-        c = code[bounds[d] : bounds[d + 1]]
-        plain = np.sort(own & ~(U(1) << U(63)))
-        at = np.minimum(np.searchsorted(plain, c), len(plain) - 1)
-        hit = np.flatnonzero(plain[at] == c)
-        picked.append(hit + bounds[d])
-        is_heavy.append(np.isin(c[hit], (own & ~(U(1) << U(63)))[own >> U(63) == 1]))
-    x = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-    heavy = np.concatenate(is_heavy) if picked else np.zeros(0, bool)
+def _with_fingerprint(sent, bits: int):
+    """(fp, id, text) of the texts whose fingerprint is in the bitmap."""
+    pick = _marked(sent, bits, True)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            fp = pa.array(signed(_fingerprints(to_bytes(b.column("text")))))
+            yield from pick([pa.RecordBatch.from_arrays([fp, b.column("id"), b.column("text")], ["fp", "id", "text"])])
+
+    return run
+
+
+def _entries(a: Anchors, shared: Shared) -> tuple[np.ndarray, ...]:
+    """Rows of WIDTH bytes for the anchors whose k-gram is shared: (rows, doc, place in the doc: of the anchor or window)."""
+    code = _code(a.gram, shared.n)
+    x = np.flatnonzero(shared.test(0, code))
+    heavy = shared.test(1, code[x])
     begin = np.concatenate([[0], a.ends[:-1]])
     pad = np.concatenate([np.zeros(REACH, np.uint8), a.data, np.zeros(WINDOW, np.uint8)])
     out, docs, places = [], [], []
@@ -253,8 +252,8 @@ def _all_windows(rows: np.ndarray) -> np.ndarray:
     return np.where(rows[:, 0] == 1, 1, (1 << (far + 1)) - (1 << near)).astype(np.uint32)
 
 
-def _send_runs(splitters: np.ndarray, n_slices: int):
-    """Front-coded sorted runs to range slices; found repeats (fp, place, windows) to slice -1."""
+def _send_runs(sent, splitters: np.ndarray, n_slices: int):
+    """Front-coded sorted runs to range slices; repeats found here (fp, id, place, windows) to any slice."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
@@ -266,7 +265,7 @@ def _send_runs(splitters: np.ndarray, n_slices: int):
             least = np.minimum.reduceat(ids, first)
             again = ids > np.repeat(least, size)
             if again.any():
-                yield -1, pack(fp[again], place[again].astype(np.uint32), _all_windows(rows[again]))
+                yield int(fp[0] % U(n_slices)), pack(fp[again], ids[again], place[again].astype(np.uint32), _all_windows(rows[again]))
             rows, fp, ids, place, text = rows[~again], fp[~again], ids[~again], place[~again], text[~again]
             lcp = np.zeros(len(rows), np.uint8)
             if len(rows) > 1:
@@ -286,12 +285,10 @@ def _send_runs(splitters: np.ndarray, n_slices: int):
             held, total = [], 0
             for b in it:
                 texts = to_bytes(b.column("text"))
-                fps = b.column("fp").to_numpy(zero_copy_only=False).view(U)
+                fps = _fingerprints(texts)
                 ids = b.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                lists = b.column("codes").to_pylist()
                 for i, j in chunks(texts):
-                    a = Anchors(texts[i:j])
-                    e, doc, place = _entries(a, _code(a.gram, n_slices), [np.frombuffer(x, U) for x in lists[i:j]])
+                    e, doc, place = _entries(Anchors(texts[i:j]), sent.value)
                     if len(e):
                         held.append((e, fps[i:j][doc], ids[i:j][doc], place))
                         total += len(e)
@@ -306,17 +303,15 @@ def _send_runs(splitters: np.ndarray, n_slices: int):
     return run
 
 
-def _sample(n_slices: int):
-    """Every 256th k-gram by hash, of the shared ones: for even ranges only."""
+def _sample(sent):
+    """Every 64th k-gram by hash, of the shared ones: for even ranges only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = to_bytes(b.column("text"))
-            lists = b.column("codes").to_pylist()
             for i, j in chunks(texts):
-                a = Anchors(texts[i:j])
-                e, doc, place = _entries(a, _code(a.gram, n_slices), [np.frombuffer(x, U) for x in lists[i:j]])
-                pick = mix64(place.astype(U) * U(31) + doc.astype(U)) % U(256) == 0
+                e, doc, place = _entries(Anchors(texts[i:j]), sent.value)
+                pick = mix64(place.astype(U) * U(31) + doc.astype(U)) % U(64) == 0
                 yield pa.record_batch([pa.array([x.tobytes() for x in e[pick][:, : 1 + GRAM]], pa.binary())], ["head"])
 
     return run
@@ -325,8 +320,8 @@ def _sample(n_slices: int):
 class Run:
     """A front-coded run that is read entry by entry."""
 
-    def __init__(self, blob: bytes):
-        lcp, tail, fp, ids, place = unpack(blob)
+    def __init__(self, arrays: list[np.ndarray]):
+        lcp, tail, fp, ids, place = arrays
         self.lcps, self.fp, self.ids, self.place = lcp.tolist(), fp, ids, place
         size = WIDTH - lcp.astype(np.int64)
         ends = np.cumsum(size)
@@ -396,12 +391,17 @@ def merge(all_runs: list[Run]) -> Iterator[tuple[int, Run]]:
 
 
 def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Repeats (fp, place, windows) found by merging the runs of a range."""
-    all_runs = [Run(b) for b in blobs]
+    """Repeats (fp, id, place, windows) found by merging the runs of a range, and those that the senders found."""
+    parts = [unpack(b) for b in blobs]
+    for own in (x for x in parts if len(x) == 4):
+        yield _repeats(*own)
+    all_runs = [Run(x) for x in parts if len(x) == 5]
+    del parts
     texts: list[bytes] = []  # different entries, of k-grams with more than one
     least: list[int] = []
     kept: list[tuple[list, list]] = []
     found_fp: list[int] = []
+    found_id: list[int] = []
     found_place: list[int] = []
     found_mask: list[int] = []
     state: list = [b"", [], [], []]
@@ -416,7 +416,7 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         own: tuple[list, list] = ([], [])
         for f, i, p in zip(fps, ids, places, strict=True):
             if i > m:
-                found_fp.append(f), found_place.append(p), found_mask.append(mask)
+                found_fp.append(f), found_id.append(i), found_place.append(p), found_mask.append(mask)
             else:
                 own[0].append(f), own[1].append(p)
         if text[0] == 0:
@@ -443,13 +443,13 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             np.bitwise_or.at(mask, row[again], (1 << off[again]).astype(np.uint32))
             for r in np.flatnonzero(mask):
                 for f, p in zip(kept[r][0], kept[r][1], strict=True):
-                    found_fp.append(f), found_place.append(p), found_mask.append(int(mask[r]))
+                    found_fp.append(f), found_id.append(least[r]), found_place.append(p), found_mask.append(int(mask[r]))
         texts.clear(), least.clear(), kept.clear()
 
     def flush() -> None:
         if found_fp:
-            out.append(_repeats(np.array(found_fp, U), np.array(found_place), np.array(found_mask, np.uint32)))
-            found_fp.clear(), found_place.clear(), found_mask.clear()
+            out.append(_repeats(np.array(found_fp, U), np.array(found_id, np.int64), np.array(found_place), np.array(found_mask, np.uint32)))
+            found_fp.clear(), found_id.clear(), found_place.clear(), found_mask.clear()
 
     single = 0
     for h, r in merge(all_runs):
@@ -471,44 +471,48 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     yield from out
 
 
-def _repeats(fp: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-    """One row per text: places and windows."""
-    order = np.argsort(fp, kind="stable")
-    fp, place, mask = fp[order], place[order].astype(np.uint32), mask[order]
-    first, size = runs(fp)
-    pair = list(zip(first.tolist(), (first + size).tolist(), strict=True))
+def _repeats(fp: np.ndarray, ids: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+    """One row per text and id: places and windows."""
+    order = np.lexsort((ids, fp))
+    fp, ids, place, mask = fp[order], ids[order], place[order].astype(np.uint32), mask[order]
+    first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (ids[1:] != ids[:-1])]))
+    pair = list(zip(first.tolist(), [*first[1:].tolist(), len(fp)], strict=True))
     return pa.record_batch(
-        [pa.array(signed(fp[first])), pa.array([place[a:b].tobytes() for a, b in pair], pa.binary()), pa.array([mask[a:b].tobytes() for a, b in pair], pa.binary())],
-        ["fp", "places", "masks"],
+        [pa.array(signed(fp[first])), pa.array(ids[first]), pa.array([place[a:b].tobytes() for a, b in pair], pa.binary()), pa.array([mask[a:b].tobytes() for a, b in pair], pa.binary())],
+        ["fp", "id", "places", "masks"],
     )
 
 
-_REPEATS = "fp long, places binary, masks binary"
+_REPEATS = "fp long, id long, places binary, masks binary"
 
 
-def _own_repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for blob in b.column("blob").to_pylist():
-            yield _repeats(*unpack(blob))
+_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, sha string"
 
 
 def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, n_removed, n_spans, kept) of each text with repeats."""
+    """Result rows of texts: a copy of a smaller document's text goes whole, others lose their repeated windows."""
     for b in it:
-        removed, spans, kept = [], [], []
-        for text, places, masks in zip(to_bytes(b.column("text")), b.column("places").to_pylist(), b.column("masks").to_pylist(), strict=True):
-            place = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
-            mask = np.frombuffer(b"".join(masks), np.uint32)
+        cols: list[list] = [[], [], [], [], []]
+        columns = (b.column(c).to_pylist() for c in ("id", "least", "places", "masks"))
+        for text, i, least, places, masks in zip(to_bytes(b.column("text")), *columns, strict=True):
+            text = text or b""
             edge = np.zeros(len(text) + 1, np.int32)
-            for off in range(REACH + 1):
-                p = place[mask >> off & 1 == 1] - off
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + WINDOW, -1)
+            if (NO_ID if i is None else i) > least:
+                edge[0] = int(len(text) >= WINDOW)
+            elif places:
+                place = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
+                mask = np.frombuffer(b"".join(masks), np.uint32)
+                for off in range(REACH + 1):
+                    p = place[mask >> off & 1 == 1] - off
+                    np.add.at(edge, p, 1)
+                    np.add.at(edge, p + WINDOW, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-        yield pa.record_batch([b.column("fp"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["fp", "n_removed", "n_spans", "kept"])
+            n = int(gone.sum())
+            row = (len(text), n, int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes() if n else None, hashlib.sha256(text).hexdigest())
+            for c, x in zip(cols, row, strict=True):
+                c.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        yield pa.record_batch([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept", "sha"])
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -522,34 +526,31 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "
     top = F.coalesce("id", F.lit(int(NO_ID)))
     smallest = seen.groupBy("fp").agg(F.min(top).alias("least"))
     dealt = source.select("text").mapInArrow(_deal(n), SLICED)
-    lists = cut(gathered(gathered(dealt, n, _shared(n, heavy), SLICED), n, _lists, "fp long, codes binary"))
-    bits = min(27, max(16, int(lists.count() * 64).bit_length()))
-    seen_bits = np.zeros((1 << bits) // (1 << min(bits, 16)) * (1 << min(bits, 16)), bool)
-    for k, blob in lists.select("fp").coalesce(4).mapInArrow(_bitmap(bits), SLICED).collect():  # at most 2**27 bits from each task
-        part = 1 << min(bits, 16)
-        seen_bits[k * part : (k + 1) * part] |= np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
-    sent = spark.sparkContext.broadcast(seen_bits)
-    some = source.mapInArrow(_filter(sent, bits), "fp long, id long, text string")
-    lists = lists.join(smallest, "fp")
-    chosen = some.join(lists, "fp").where(F.coalesce("id", F.lit(int(NO_ID))) == F.col("least"))
-    chosen = cut(chosen.dropDuplicates(["fp"]).select("fp", F.col("least").alias("id"), "text", "codes"))
-    heads = sorted(bytes(r[0]) for r in chosen.mapInArrow(_sample(n), "head binary").collect())
+    bits = 1 << max(13, min(MAX_BITS, int(seen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]).bit_length()) - n.bit_length())
+    shared = Shared(n, bits)
+    for part, blob in gathered(dealt, n, _segments(n, bits, heavy), SLICED).collect():  # at most 2**MAX_BITS bits twice
+        shared.maps[0, part], shared.maps[1, part] = unpack(blob)
+    sent = spark.sparkContext.broadcast(shared)
+    heads = sorted(bytes(r[0]) for r in source.where("crc32(CAST(id AS STRING)) % 64 = 0").mapInArrow(_sample(sent), "head binary").limit(100_000).collect())
     step = max(1, len(heads) // n)
     splitters = np.array(sorted(set(heads[step::step]))[: n - 1], f"S{1 + GRAM}")
-    sent_runs = cut(chosen.mapInArrow(_send_runs(splitters, n), SLICED))
-    repeats = gathered(sent_runs.where("slice >= 0"), n, _merge_runs, _REPEATS).union(sent_runs.where("slice < 0").mapInArrow(_own_repeats, _REPEATS))
-    marks = repeats.groupBy("fp").agg(F.collect_list(F.struct("places", "masks")).alias("m"))
-    marks = marks.select("fp", F.col("m.places").alias("places"), F.col("m.masks").alias("masks"))
-    cleaned = chosen.select("fp", "text").join(marks, "fp").mapInArrow(_cut_out, "fp long, n_removed long, n_spans long, kept binary")
-    out = seen.join(smallest, "fp").join(cleaned, "fp", "left")
+    repeats = cut(gathered(source.mapInArrow(_send_runs(sent, splitters, n), SLICED), n, _merge_runs, _REPEATS))
+    repeats = repeats.join(smallest, "fp").where(F.col("id") == F.col("least"))  # copies of a text are removed whole
+    marks = repeats.groupBy("fp").agg(F.collect_list("places").alias("places"), F.collect_list("masks").alias("masks"))
+    marked = np.zeros(1 << MARK_BITS, bool)
+    for part, blob in marks.select("fp").coalesce(4).mapInArrow(_bitmap(MARK_BITS), SLICED).collect():
+        marked[part << 16 : (part + 1) << 16] |= np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
+    sent_marks = spark.sparkContext.broadcast(marked)
+    # texts with marks are shuffled once and cut where they meet their marks; all others are told from their digests
+    some = source.mapInArrow(_with_fingerprint(sent_marks, MARK_BITS), "fp long, id long, text string")
+    done = some.join(smallest.join(marks, "fp", "left"), "fp").select("id", "text", "least", "places", "masks").mapInArrow(_cut_out, _RESULT)
+    rest = seen.mapInArrow(_marked(sent_marks, MARK_BITS, False), "id long, fp long, n_bytes long, sha string").join(smallest, "fp")
     copy = (top > F.col("least")) & (F.col("n_bytes") >= WINDOW)
-    return out.select(
-        "id", "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.when(top > F.col("least"), 0).otherwise(F.coalesce("n_spans", F.lit(0)))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        "sha",
+    rest = rest.select(
+        "id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"), copy.cast("long").alias("n_spans"),
+        F.when(copy, F.lit(b"")).alias("kept"), "sha",
     )
+    return done.unionByName(rest)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
