@@ -405,12 +405,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, CAST(greatest(len(w), 3) - 1 AS BIGINT)), lambda i: array_to_string(w[i:i + 2], ' '))) END) AS t FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-f AS (SELECT t FROM s GROUP BY t HAVING count(*) > 1),
-d AS (SELECT doc_id, t FROM s JOIN f USING (t)),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, CAST(greatest(len(w), 3) - 1 AS BIGINT)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+u AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS k, any_value(len(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+t AS (SELECT doc_id, unnest(k) AS t FROM u),
+d AS (SELECT doc_id, t FROM t WHERE t IN (SELECT t FROM t GROUP BY t HAVING count(*) > 1)),
 i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c))
+l AS (SELECT a, b FROM i JOIN u x ON x.doc_id = a JOIN u y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
+FROM s LEFT JOIN u ON u.k = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN m ON m.node = u.doc_id
 """

@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_url_filters": urls.OP10_SQL,
 }
