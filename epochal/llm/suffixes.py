@@ -39,7 +39,7 @@ WIDTH = 1 + WINDOW + REACH + 2  # kind, suffix, text before, first and last offs
 HEAVY, FLUSH, NO_ID = 100_000, 3_000_000, np.iinfo(np.int64).max
 #: Bits (as a power of two) of the bitmaps of shared k-grams, and of marked texts.
 MAX_BITS, MARK_BITS = 28, 22
-_LOW = U((1 << 40) - 1)
+_LOW = U((1 << 32) - 1)
 
 
 class Anchors:
@@ -80,8 +80,8 @@ class Anchors:
 
 
 def _code(gram: np.ndarray, n_slices: int) -> np.ndarray:
-    """A k-gram's slice and 40 bits of its hash."""
-    return slice_of(gram, n_slices).astype(U) << U(40) | mix64(gram) & _LOW
+    """A k-gram's slice and 32 bits of its hash. Two that collide only look shared, which costs an entry."""
+    return slice_of(gram, n_slices).astype(U) << U(32) | mix64(gram) & _LOW
 
 
 def _fingerprints(texts: list[bytes | None]) -> np.ndarray:
@@ -102,18 +102,17 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(n_slices: int):
-    """To each slice of k-grams: text fingerprints, numbers of k-grams, 40 bits of each."""
+    """To each slice of k-grams: text fingerprints, numbers of k-grams, 32 bits of each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
             fp, code = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, bounds = cut_by((code >> U(40)).astype(np.int32), n_slices)
+            order, bounds = cut_by((code >> U(32)).astype(np.int32), n_slices)
             for s in range(n_slices):
                 x = order[bounds[s] : bounds[s + 1]]
                 if len(x):
                     first, size = runs(fp[x])
-                    c = code[x]
-                    yield s, pack(fp[x][first], size.astype(np.uint32), c.astype(np.uint32), (c >> U(32)).astype(np.uint8))
+                    yield s, pack(fp[x][first], size.astype(np.uint32), code[x].astype(np.uint32))
 
         def rows():
             held, total = [], 0
@@ -142,7 +141,7 @@ def _segments(n_slices: int, bits: int, heavy: int):
     def fn(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(b) for b in blobs]
         fp = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
-        code = np.concatenate([x[2].astype(U) | x[3].astype(U) << U(32) for x in parts])
+        code = np.concatenate([x[2].astype(U) for x in parts])
         order = np.lexsort((fp, code))
         fp, code = fp[order], code[order]
         new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (code[1:] != code[:-1])])
@@ -159,8 +158,8 @@ def _segments(n_slices: int, bits: int, heavy: int):
 
 
 def _bit(code: np.ndarray, bits: int) -> np.ndarray:
-    """Place of a code's lower 40 bits in its slice's part of a bitmap."""
-    return (((code & _LOW) >> U(8)) * U(bits) >> U(32)).astype(np.int64)
+    """Place of a code's lower 32 bits in its slice's part of a bitmap."""
+    return ((code & _LOW) * U(bits) >> U(32)).astype(np.int64)
 
 
 class Shared:
@@ -172,7 +171,7 @@ class Shared:
 
     def test(self, which: int, code: np.ndarray) -> np.ndarray:
         at = _bit(code, self.bits)
-        return (self.maps[which, (code >> U(40)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return (self.maps[which, (code >> U(32)).astype(np.int64), at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _bitmap(bits: int):
@@ -279,7 +278,10 @@ def _send_runs(sent, splitters: np.ndarray, n_slices: int):
                     own = lcp[i:j].copy()
                     own[0] = 0
                     tail = rows[i:j][np.arange(WIDTH)[None, :] >= own[:, None]]
-                    yield s, pack(own, tail, fp[i:j], ids[i:j], place[i:j].astype(np.uint32))
+                    # documents by number: their fingerprint and id are sent once per run
+                    _, first, number = np.unique(fp[i:j] ^ mix64(ids[i:j].view(U)), return_index=True, return_inverse=True)
+                    small = np.uint16 if len(first) < 65536 else np.uint32
+                    yield s, pack(own, tail, fp[i:j][first], ids[i:j][first], number.astype(small), place[i:j].astype(np.uint32))
 
         def rows_():
             held, total = [], 0
@@ -321,8 +323,8 @@ class Run:
     """A front-coded run that is read entry by entry."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        lcp, tail, fp, ids, place = arrays
-        self.lcps, self.fp, self.ids, self.place = lcp.tolist(), fp, ids, place
+        lcp, tail, fp, ids, number, place = arrays
+        self.lcps, self.fp, self.ids, self.place = lcp.tolist(), fp[number], ids[number], place
         size = WIDTH - lcp.astype(np.int64)
         ends = np.cumsum(size)
         self.ends, self.tail = ends.tolist(), tail.tobytes()
@@ -395,7 +397,7 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     parts = [unpack(b) for b in blobs]
     for own in (x for x in parts if len(x) == 4):
         yield _repeats(*own)
-    all_runs = [Run(x) for x in parts if len(x) == 5]
+    all_runs = [Run(x) for x in parts if len(x) == 6]
     del parts
     texts: list[bytes] = []  # different entries, of k-grams with more than one
     least: list[int] = []

@@ -285,7 +285,7 @@ def test_loser_tree_merges_in_order():
             d = np.flatnonzero(m[i] != m[i - 1])
             lcp[i] = d[0] if len(d) else S.WIDTH
         tail = m[np.arange(S.WIDTH)[None, :] >= lcp[:, None]]
-        packed.append(S.Run([lcp, tail, np.zeros(len(m), np.uint64), np.zeros(len(m), np.int64), np.zeros(len(m), np.uint32)]))
+        packed.append(S.Run([lcp, tail, np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(len(m), np.uint16), np.zeros(len(m), np.uint32)]))
     out, last = [], b""
     for h, r in S.merge(packed):
         assert r.text[:h] == last[:h] and (not out or h == S.WIDTH or r.text[h] != last[h])
