@@ -240,9 +240,9 @@ SQL = {
     "spearman": f"WITH {_SCORED_SQL}, r AS (SELECT lang, s, n_chars::DOUBLE AS len, {_MID('s')} AS a, {_MID('n_chars')} AS b FROM sc) SELECT lang, round(CASE WHEN max(s) > min(s) AND max(len) > min(len) THEN corr(a, b) END, 6) AS spearman, round(CASE WHEN max(s) > min(s) AND max(len) > min(len) THEN corr(s, len) END, 6) AS pearson, count(*) AS n FROM r GROUP BY lang",
     "kendall_tau_b": f"""WITH {_SCORED_SQL}, p AS (SELECT a.lang, sum(sign(b.s - a.s) * sign(b.y - a.y)) AS s FROM sc a JOIN sc b ON a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY a.lang),
 t AS (SELECT lang, count(*) * (count(*) - 1) / 2.0::DOUBLE AS n0 FROM sc GROUP BY lang), ta AS (SELECT lang, sum(c * (c - 1) / 2.0::DOUBLE) AS v FROM (SELECT lang, s, count(*) AS c FROM sc GROUP BY ALL) GROUP BY lang), tb AS (SELECT lang, sum(c * (c - 1) / 2.0::DOUBLE) AS v FROM (SELECT lang, y, count(*) AS c FROM sc GROUP BY ALL) GROUP BY lang)
-SELECT lang, round(p.s / sqrt((n0 - ta.v) * (n0 - tb.v)), 6) AS tau_b FROM t JOIN p USING (lang) JOIN ta USING (lang) JOIN tb USING (lang)""",
-    "auroc_ap": f"""WITH {_SCORED_SQL}, {_BLOCK}, r AS (SELECT lang, y, {_MID('s')} AS r FROM sc), a AS (SELECT lang, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) AS auroc FROM r GROUP BY lang),
-p AS (SELECT lang, sum(pos * cum_pos / cum_n) / sum(pos) AS ap FROM cu GROUP BY lang) SELECT lang, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM a JOIN p USING (lang)""",
+SELECT lang, round(coalesce(p.s, 0) / nullif(sqrt((n0 - ta.v) * (n0 - tb.v)), 0), 6) AS tau_b FROM t LEFT JOIN p USING (lang) JOIN ta USING (lang) JOIN tb USING (lang)""",
+    "auroc_ap": f"""WITH {_SCORED_SQL}, {_BLOCK}, r AS (SELECT lang, y, {_MID('s')} AS r FROM sc), a AS (SELECT lang, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auroc FROM r GROUP BY lang),
+p AS (SELECT lang, sum(pos * cum_pos / cum_n) / nullif(sum(pos), 0) AS ap FROM cu GROUP BY lang) SELECT lang, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM a JOIN p USING (lang)""",
     "calibration": f"""WITH {_SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM sc), b AS (SELECT *, least(10, greatest(1, n // 10)) AS b FROM r),
 e AS (SELECT *, (SELECT max(k) FROM range(0, 10) q(k) WHERE k < b AND k * n // b <= i) AS bin, least(floor(s * 10), 9) AS wide FROM b),
 x AS (SELECT lang, sum(c / n * gap) AS v FROM (SELECT lang, bin, count(*)::DOUBLE AS c, any_value(n) AS n, abs(avg(s) - avg(y)) AS gap FROM e GROUP BY lang, bin) GROUP BY lang),
@@ -253,7 +253,7 @@ SELECT lang, round(avg((s - y) * (s - y)), 6) AS brier, round(avg(abs(s - y)), 6
     "kappa": f"""WITH {_PAIRS_SQL}, p AS (SELECT * FROM pr WHERE gold <> 'cannot_judge' AND predicted <> 'cannot_judge'), t AS (SELECT field, count(*)::DOUBLE AS n, avg((gold = predicted)::INT)::DOUBLE AS po, sum(power({_PLACE('gold')} - {_PLACE('predicted')}, 2)) AS ws FROM p GROUP BY field),
 g AS (SELECT field, gold, count(*)::DOUBLE AS c FROM p GROUP BY ALL), q AS (SELECT field, predicted, count(*)::DOUBLE AS c FROM p GROUP BY ALL),
 e AS (SELECT field, sum(g.c * q.c) FILTER (WHERE gold = predicted) AS ch, sum(g.c * q.c * power({_PLACE('gold')} - {_PLACE('predicted')}, 2)) AS we FROM g JOIN q USING (field) GROUP BY field)
-SELECT field, round((po - ch / (n * n)) / (1 - ch / (n * n)), 6) AS kappa, round(1 - ws * n / we, 6) AS quadratic_kappa FROM t JOIN e USING (field)""",
+SELECT field, round((po - ch / (n * n)) / nullif(1 - ch / (n * n), 0), 6) AS kappa, round(1 - ws * n / nullif(we, 0), 6) AS quadratic_kappa FROM t JOIN e USING (field)""",
     "per_class": f"""WITH {_PAIRS_SQL}, l AS (SELECT DISTINCT field, gold AS label FROM pr UNION SELECT field, predicted FROM pr),
 c AS (SELECT field, label, (count(*) FILTER (WHERE gold = label AND predicted = label))::DOUBLE AS tp, (count(*) FILTER (WHERE gold = label))::DOUBLE AS g, (count(*) FILTER (WHERE predicted = label))::DOUBLE AS p FROM l JOIN pr USING (field) GROUP BY ALL)
 SELECT field, label, round(coalesce(tp / nullif(p, 0), 0), 6) AS precision, round(coalesce(tp / nullif(g, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(p + g, 0), 0), 6) AS f1, CAST(g AS BIGINT) AS support FROM c""",
