@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans: every run of several consecutive sentences is hashed and joined globally.
 
 A sentence is a run of words that ends after a word ending in . ! or ?, or before a line break. A run is the fewest sentences
-from a given one, two at least, that hold MIN_WORDS words; a sentence of LONG_SENTENCE words is a run of its own, so that a
-long passage without stops is found too. Words are ASCII-lowered; white space between them does not matter. A sentence that
+from a given one on, or up to a given one, two at least, that hold MIN_WORDS words: so the first and the last sentence of a
+repeated passage are in a run that lies within it. A sentence of LONG_SENTENCE words is a run of its own, so that a long
+passage without stops is found too. Words are ASCII-lowered; white space between them does not matter. A sentence that
 any non-first occurrence of a run covers is removed, with the white space after it. First: the smallest (id, position).
 
 Runs are shuffled as (64-bit hash, id, position). First occurrences pre-aggregate, so a passage in a third of all documents is
@@ -50,16 +51,21 @@ class Sentences:
         h = mix64(RangeHash(w.hash)(at, at + size))
         m = len(at)
         total = np.cumsum(size)
-        last = np.searchsorted(total, total - size + MIN_WORDS)
-        last = np.maximum(last, np.arange(m) + MIN_SENTENCES - 1)
-        last = np.where(size >= LONG_SENTENCE, np.arange(m), last)
-        ok = last < m
-        ok[ok] = self.doc[last[ok]] == self.doc[ok]
-        i = np.flatnonzero(ok)
+        at = np.arange(m)
+        last = np.maximum(np.searchsorted(total, total - size + MIN_WORDS), at + MIN_SENTENCES - 1)
+        first = np.minimum(np.searchsorted(total - size, total - MIN_WORDS, side="right") - 1, at - MIN_SENTENCES + 1)
+        alone = size >= LONG_SENTENCE
+        last, first = np.where(alone, at, last), np.where(alone, at, first)
+        i, j = np.concatenate([at, first]), np.concatenate([last, at])
+        ok = (i >= 0) & (j < m)
+        i, j = i[ok], j[ok]
+        ok = self.doc[i] == self.doc[j]
+        runs = np.unique(i[ok] * m + j[ok])
+        i, j = runs // m, runs % m
         self.count = np.bincount(self.doc, minlength=len(texts))
         self.first = np.cumsum(self.count) - self.count
-        self.run_doc, self.run_at, self.run_len = self.doc[i], i - self.first[self.doc[i]], last[i] - i + 1
-        self.run_hash = RangeHash(h)(i, last[i] + 1)
+        self.run_doc, self.run_at, self.run_len = self.doc[i], i - self.first[self.doc[i]], j - i + 1
+        self.run_hash = RangeHash(h)(i, j + 1)
 
 
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +153,18 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
                 parts.append(found[start : k + 1])
                 start = k + 1
         cutting[i] = parts
-        for a in range(len(parts)):
-            b, n = a, len(parts[a])
-            if n < LONG_SENTENCE:
-                while b < len(parts) and (b - a + 1 < MIN_SENTENCES or n < MIN_WORDS):
-                    b += 1
-                    n += len(parts[b]) if b < len(parts) else 0
-            if b < len(parts):
-                low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-                key = tuple(tuple(m[0].translate(low) for m in p) for p in parts[a : b + 1])
-                runs.setdefault(key, []).append((i, a, b))
+        found_runs = set()
+        for k in range(len(parts)):
+            if len(parts[k]) >= LONG_SENTENCE:
+                found_runs.add((k, k))
+                continue
+            enough = lambda a, b: b - a + 1 >= MIN_SENTENCES and sum(map(len, parts[a : b + 1])) >= MIN_WORDS  # noqa: E731, B023
+            found_runs |= {(k, b) for b in [next((b for b in range(k, len(parts)) if enough(k, b)), None)] if b is not None}
+            found_runs |= {(a, k) for a in [next((a for a in range(k, -1, -1) if enough(a, k)), None)] if a is not None}
+        low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        for a, b in found_runs:
+            key = tuple(tuple(m[0].translate(low) for m in p) for p in parts[a : b + 1])
+            runs.setdefault(key, []).append((i, a, b))
     gone = {(i, k) for v in runs.values() for i, a, b in sorted(v)[1:] for k in range(a, b + 1)}
     out = {}
     for i, text in rows:
