@@ -1,6 +1,7 @@
 """Connected components by contraction: every vertex points to its smallest neighbour, edges move to the targets, repeat.
 
-Each round at least halves the vertices that have edges. Neighbour minima pre-aggregate, so a hub is no hot task. Nothing is
+Vertices are fingerprints, so their order is random along any path and a round drops a constant part of them (a path of
+sorted ids would take a round for each vertex). Neighbour minima pre-aggregate, so a hub is no hot task. Nothing is
 collected; the driver only asks whether edges remain.
 """
 

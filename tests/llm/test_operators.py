@@ -366,7 +366,9 @@ def test_components(spark):
     from epochal.llm._components import components
 
     rng = np.random.default_rng(0)
-    e = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(i, i + 1) for i in range(1000, 1040)]
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))]
+    path = rng.permutation(np.arange(1000, 2000))[:40].tolist()  # vertices are hashes in use: no sorted paths
+    e += list(zip(path, path[1:]))
     root = {x: x for p in e for x in p}
     for _ in range(300):
         for a, b in e:
