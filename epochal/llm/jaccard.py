@@ -10,9 +10,11 @@ document frequency; two coarser frequency orders with other tie-breaks), which a
    others only shared tokens go on, with frequencies: an intersection consists of nothing else.
 3. Under each order, sets that share a prefix token are chained to the token's smallest set. Components of these linear edges
    under the first order are families; no link leaves a family, and no pairs are emitted.
-4. A family's sets meet in one task, largest frequencies first, and are joined by union-find: a set is held against the
-   sets of other components only, after the prefix filters of all orders and the length filter, by exact intersection. A
-   family of more than FAMILY_TOKENS tokens is cut into blocks, and every pair of blocks is a task of its own.
+4. A family's sets meet in one task, largest frequencies first: a set is held against all later ones that pass the prefix
+   filters of all orders and the length filter, by exact intersection, so that every link is found once. Links are counted at
+   both sets and joined by union-find; only spanning links and numbers leave the task. A family of more than FAMILY_TOKENS
+   tokens is cut into blocks, and every pair of blocks is a task of its own. With components_only a set is held against the
+   sets of other components only, and links are not counted.
 
 Tokens that may be in a large part of all sets (1/8 of some sender's sets) are dealt by token and set, so that none meets in
 one task, and rank last. Sets and tokens are compared by hashes of 64 and at least 40 bits.
@@ -285,8 +287,11 @@ def _own_chains(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(*unpack(blob))
 
 
-def _union(sets: list[tuple], p: int, q: int, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
-    """Spanning links of the sets of one family. side: block of each set; only sets of different blocks are compared (None: all)."""
+def _union(sets: list[tuple], p: int, q: int, side: np.ndarray | None, components_only: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spanning links of the sets of one family, and each set's number of links.
+
+    side: block of each set; only sets of different blocks are compared (None: all).
+    """
     m = len(sets)
     n = np.array([x[1] for x in sets])
     toks = [np.frombuffer(x[3], U) for x in sets]
@@ -304,8 +309,11 @@ def _union(sets: list[tuple], p: int, q: int, side: np.ndarray | None) -> Iterat
         lists.append((pre, of[by], np.searchsorted(c[by], np.arange(len(ids) + 1))))
     root = np.arange(m)
     weight = np.array([d.astype(np.float64).sum() / max(k, 1) for d, k in zip(dfs, n, strict=True)])
+    later = np.ones(m, bool)
+    spanning, links = [], np.zeros(m, np.int64)
     for u in np.argsort(-weight, kind="stable"):
-        may = (root != root[u]) & (100_000 * np.minimum(n, n[u]) * q >= 100_000 * p * np.maximum(n, n[u]))
+        later[u] = False
+        may = (root != root[u] if components_only else later) & (100_000 * np.minimum(n, n[u]) * q >= 100_000 * p * np.maximum(n, n[u]))
         if side is not None:
             may &= side != side[u]
         for pre, of, bounds in lists:
@@ -323,13 +331,19 @@ def _union(sets: list[tuple], p: int, q: int, side: np.ndarray | None) -> Iterat
         for x in np.array_split(cand, max(1, int(size[cand].sum() // 4_000_000))):
             inside = mark[code[ragged(begin[x], size[x])]]
             inter = np.add.reduceat(inside, np.cumsum(size[x]) - size[x]) if len(x) else np.zeros(0, np.int64)
-            for v in x[inter * q >= p * (n[x] + n[u] - inter)]:
+            found = x[inter * q >= p * (n[x] + n[u] - inter)]
+            links[found] += 1
+            links[u] += len(found)
+            for v in found[root[found] != root[u]]:
                 if root[v] != root[u]:
                     root[root == root[v]] = root[u]
-                    yield sets[u][0], sets[v][0]
+                    spanning.append((sets[u][0], sets[v][0]))
+    return spanning, links
+
 
+def _verify(p: int, q: int, components_only: bool):
+    """Spanning links (a, b, 0), and numbers of links as (a, a, number)."""
 
-def _verify(p: int, q: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def families():
             key, held = None, []
@@ -346,20 +360,19 @@ def _verify(p: int, q: int):
         for (_, i, j), rows in families():
             if len(rows) > 1:
                 side = np.array([r[8] for r in rows]) if i != j else None
-                found = list(_union(rows, p, q, side))
-                if found:
-                    yield _edges(*(np.array(x, np.int64) for x in zip(*found, strict=True)))
+                spanning, links = _union(rows, p, q, side, components_only)
+                if spanning or links.any():
+                    has = [] if components_only else np.flatnonzero(links).tolist()
+                    out = [(a, b, 0) for a, b in spanning] + [(rows[x][0], rows[x][0], int(links[x])) for x in has]
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: sets of distinct k-word shingles of the ASCII-lowered text, linked where
-    100 * intersection >= percent * union; component_id: the smallest id reachable by links.
-    """
-    spark, p, q = docs.sparkSession, percent, 100
+def _linked(source: DataFrame, k: int, percent: int, components_only: bool) -> tuple[DataFrame, DataFrame]:
+    """((id, n, fp) of every row of source (id, text), (fp, least, root, n_links) of every set that is not empty)."""
+    spark, p, q = source.sparkSession, percent, 100
     n_slices = parallelism(spark)
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     scanned = cut(source.mapInArrow(_scan(k), f"id {kind}, n long, fp long, hot array<long>"))
     sets = scanned.select("id", "n", "fp")
@@ -380,25 +393,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = blocked.withColumn("__other", other).withColumn("i", F.least("block", "__other")).withColumn("j", F.greatest("block", "__other"))
     tasks = paired.repartition(n_slices, "family", "i", "j").sortWithinPartitions("family", "i", "j", "fp")
-    links = tasks.select("fp", "n", "prefix", "tok", "df", "family", "i", "j", "block").mapInArrow(_verify(p, q), "a long, b long")
-    roots = components(links).withColumnRenamed("v", "fp")
+    verified = tasks.select("fp", "n", "prefix", "tok", "df", "family", "i", "j", "block").mapInArrow(_verify(p, q, components_only), "a long, b long, n long")
+    links = cut(verified)
+    roots = components(links.where("a <> b")).withColumnRenamed("v", "fp")
+    numbers = links.where("a = b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
     least = sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    grouped = cut(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    joined = least.join(roots, "fp", "left").join(numbers, "fp", "left")
+    return sets, cut(joined.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, components_only: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every row: sets of distinct k-word shingles of the ASCII-lowered text, linked
+    where 100 * intersection >= percent * union; component_id: the smallest id reachable by links; n_links: number of other sets
+    that the row's set is linked to (rows of equal sets are one set). components_only: no n_links; links within a component that
+    is known already are not verified.
+    """
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    sets, grouped = _linked(source, k, percent, components_only)
     top = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(top, "root").select("fp", "component_id")
-    return sets.join(classes, "fp", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id")
-    )
+    classes = grouped.join(top, "root").select("fp", "component_id", "n_links")
+    out = sets.join(classes, "fp", "left").select(
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
+    )
+    return out.drop("n_links") if components_only else out
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the SQL; all links are verified."""
+    return op6_jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the row of the smallest id stays, and one row of each id."""
-    found = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
+    found = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80, components_only=True)
     keep = cut(found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct())
     first = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
     return first.dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_nearest_neighbours": neighbours.op5_nearest_neighbours,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op6_jaccard_links": jaccard.op6_jaccard_links,
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_mixing": mixing.op9_mixing,
