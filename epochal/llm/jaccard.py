@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from epochal.llm._components import components
 from epochal.llm._packed import SLICED, batches, cut_by, gathered, pack, ragged, runs, slice_of, unpack
@@ -429,12 +430,38 @@ def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+def _with_sets(k: int, text: int):
+    """Rows with the size and fingerprint of their set. A row without words gets a fingerprint of its own."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in it:
+            texts = to_bytes(b.column(text))
+            n, fp = np.zeros(len(texts), np.int64), np.zeros(len(texts), U)
+            for i, j, size, _, f in _sets(texts, k):
+                n[i:j], fp[i:j] = size, f
+            own = mix64(np.arange(seen, seen + len(texts), dtype=U) | U(part << 40))
+            seen += len(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(signed(np.where(n > 0, fp, own)))], [*b.schema.names, "__n", "__fp"])
+
+    return run
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the row of the smallest id stays, and one row of each id."""
-    found = jaccard_components(docs.select("doc_id", "text"), k=5, percent=80, components_only=True)
-    keep = cut(found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__keep")).distinct())
-    first = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates (five words, 0.8) one row of the smallest id stays (null is the largest); all other rows stay.
+
+    The survivor is chosen by (id, set), so a row that has no near duplicate stays whatever its id is.
+    """
+    _, grouped = _linked(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")), 5, 80, components_only=True)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("s"))
+    keep = best.select(F.col("s.fp").alias("__set"), F.col("s.least").alias("__id"))
+    schema = StructType([*docs.schema.fields, StructField("__n", LongType()), StructField("__fp", LongType())])
+    rows = docs.mapInArrow(_with_sets(5, docs.columns.index("text")), schema)
+    held = rows.join(keep, F.col("__fp") == F.col("__set"), "left")
+    held = held.where((F.col("__n") == 0) | (F.col("__set").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__id"))))
+    return held.dropDuplicates(["__fp"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OP6_SQL = """
