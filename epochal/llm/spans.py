@@ -6,7 +6,12 @@ repeated passage are in a run that lies within it. A sentence of LONG_SENTENCE w
 passage without stops is found too. Words are ASCII-lowered; white space between them does not matter. A sentence that
 any non-first occurrence of a run covers is removed, with the white space after it. First: the smallest (id, position).
 
-Runs are shuffled as (64-bit hash, id, position). First occurrences pre-aggregate, so a passage in a third of all documents is
+Passages that do not meet sentence ends are found by pieces: of each PASSAGE words in a row the PIECE words of the smallest hash
+(the first of equal ones), so that two occurrences of a passage of PASSAGE words or more share a piece at the same place of it.
+Pieces that follow each other within a passage overlap or touch. The words of a non-first occurrence of a piece are cut out,
+with the white space after them; up to PASSAGE - PIECE words at either end of a passage may stay.
+
+Runs and pieces are shuffled as (64-bit hash, id, position). First occurrences pre-aggregate, so a passage in a third of all documents is
 no hot task; the join that finds the others can be split by adaptive execution, and nothing is emitted per pair.
 
 Null and empty texts have no sentences and stay as they are. Repeats within a document count. Rows that share an id are one
@@ -28,26 +33,51 @@ from epochal.llm._spark import cut, table
 from epochal.llm._text import RangeHash, U, Words, chunks, mix64, signed, to_bytes
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 50
+PASSAGE, PIECE = 51, 26
+#: In the low byte of a place, where a run has its number of sentences (MIN_WORDS at most).
+OF_PIECE = 255
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 
 
+def _pieces(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the pieces, in order."""
+    n = len(w.hash)
+    if n < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    at = np.arange(n - PIECE + 1)
+    h = mix64(RangeHash(w.hash)(at, at + PIECE) ^ U(0x70696563))
+    best, size, of = at, 1, PASSAGE - PIECE + 1
+    while size < of:  # best: place of the first smallest hash of the next size ones
+        step = min(size, of - size)
+        a, b = best[:-step], best[step:]
+        best, size = np.where(h[b] < h[a], b, a), size + step
+    best = best[w.doc[: len(best)] == w.doc[PASSAGE - 1 :]]
+    best = np.unique(best)
+    return best, h[best]
+
+
 class Sentences:
-    """Sentences and runs of some texts: start (in data), doc, and of each run its doc, first sentence in the doc, length, hash."""
+    """Sentences, runs and pieces of some texts: at (first word), doc, and of each run its doc, first sentence in the doc, length, hash.
+
+    mark_doc, mark_place, mark_hash: runs and pieces as they are shuffled.
+    """
 
     def __init__(self, texts: list[bytes | None]):
         w = Words(texts)
         self.ends, n = w.ends, len(w.start)
+        self.word_start, self.per_doc = w.start, w.per_doc
+        self.word_first = np.cumsum(w.per_doc) - w.per_doc
         if not n:
-            self.start = self.doc = self.run_doc = self.run_at = self.run_len = np.zeros(0, np.int64)
-            self.run_hash, self.count, self.first = np.zeros(0, U), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            self.at = self.doc = self.mark_doc = self.mark_place = np.zeros(0, np.int64)
+            self.mark_hash, self.count, self.first = np.zeros(0, U), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             return
         lines = np.concatenate([[0], np.cumsum(w.data == 10)])
         new = np.ones(n, bool)
         new[1:] = (w.doc[1:] != w.doc[:-1]) | _STOPS[w.data[w.end[:-1] - 1]] | (lines[w.start[1:]] > lines[w.end[:-1]])
         at = np.flatnonzero(new)
         size = np.diff(np.concatenate([at, [n]]))
-        self.start, self.doc = w.start[at], w.doc[at]
+        self.at, self.doc = at, w.doc[at]
         h = mix64(RangeHash(w.hash)(at, at + size))
         m = len(at)
         total = np.cumsum(size)
@@ -64,8 +94,37 @@ class Sentences:
         i, j = runs // m, runs % m
         self.count = np.bincount(self.doc, minlength=len(texts))
         self.first = np.cumsum(self.count) - self.count
-        self.run_doc, self.run_at, self.run_len = self.doc[i], i - self.first[self.doc[i]], j - i + 1
-        self.run_hash = RangeHash(h)(i, j + 1)
+        run_doc, run_place, run_hash = self.doc[i], ((i - self.first[self.doc[i]]) << 8) | (j - i + 1), RangeHash(h)(i, j + 1)
+        piece, piece_hash = _pieces(w)
+        piece_doc = w.doc[piece]
+        piece_place = ((piece - self.word_first[piece_doc]) << 8) | OF_PIECE
+        doc = np.concatenate([run_doc, piece_doc])
+        by = np.argsort(doc, kind="stable")
+        self.mark_doc, self.mark_place = doc[by], np.concatenate([run_place, piece_place])[by]
+        self.mark_hash = np.concatenate([run_hash, piece_hash])[by]
+
+    def kept(self, r: int, text: bytes, marks: list[dict]) -> tuple[bytes, int]:
+        """(text that stays of text r, number of its sentences that lost words)."""
+        a, b = np.searchsorted(self.mark_doc, [r, r + 1])
+        there = dict(zip(self.mark_place[a:b].tolist(), signed(self.mark_hash[a:b]).tolist(), strict=True))
+        base, n = self.word_first[r], self.per_doc[r]
+        at = np.append(self.at[self.first[r] : self.first[r] + self.count[r]] - base, n)
+        lost = np.zeros(n, bool)
+        for m in marks:
+            if there.get(m["place"]) == m["h"]:
+                k, size = m["place"] >> 8, m["place"] & 255
+                if size == OF_PIECE:
+                    lost[k : k + PIECE] = True
+                else:
+                    lost[at[k] : at[k + size]] = True
+        if not lost.any():
+            return text, 0
+        begin = self.ends[r - 1] if r else 0
+        edges = [*(self.word_start[base : base + n] - begin).tolist(), len(text)]
+        turn = np.diff(np.concatenate([[0], (~lost).astype(np.int8), [0]]))
+        spans = zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)
+        out = text[: edges[0]] + b"".join(text[edges[i] : edges[j]] for i, j in spans)
+        return out, int(np.logical_or.reduceat(lost, at[:-1]).sum())
 
 
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,44 +132,30 @@ def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = to_bytes(b.column(1))
         for i, j in chunks(texts):
             s = Sentences(texts[i:j])
-            ids = b.column(0).take(pa.array(i + s.run_doc))
-            place = (s.run_at << 8) | s.run_len
-            yield pa.record_batch([pa.array(signed(s.run_hash)), ids, pa.array(place.astype(np.int64))], ["h", "id", "place"])
-
-
-def _kept(text: bytes | None, marks: list[dict] | None) -> tuple[bytes | None, int, int]:
-    """(text that stays, sentences, sentences removed)."""
-    s = Sentences([text])
-    n = int(s.count[0])
-    if not marks:
-        return text, n, 0
-    there = {(int(a) << 8) | int(k): int(h) for a, k, h in zip(s.run_at, s.run_len, signed(s.run_hash), strict=True)}
-    gone = np.zeros(n, bool)
-    for m in marks:
-        if there.get(m["place"]) == m["h"]:
-            gone[m["place"] >> 8 : (m["place"] >> 8) + (m["place"] & 255)] = True
-    edges = [*s.start.tolist(), len(text)]
-    return text[: edges[0]] + b"".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone)), n, int(gone.sum())
+            ids = b.column(0).take(pa.array(i + s.mark_doc))
+            yield pa.record_batch([pa.array(signed(s.mark_hash)), ids, pa.array(s.mark_place.astype(np.int64))], ["h", "id", "place"])
 
 
 def _rewrite(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first two columns are the text and the marks; the text is replaced, and the counts go in front."""
     for b in it:
         texts, marks = to_bytes(b.column(0)), b.column(1).to_pylist()
-        out, n, gone = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        counts = np.concatenate([np.zeros(0, np.int64), *(Sentences(texts[i:j]).count for i, j in chunks(texts))])
-        for r, (t, m) in enumerate(zip(texts, marks, strict=True)):
-            if m:
-                t, n[r], gone[r] = _kept(t, m)
-            else:
-                n[r] = counts[r]
-            out.append(t)
+        out, n, gone = list(texts), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for i, j in chunks(texts):
+            s = Sentences(texts[i:j])
+            n[i:j] = s.count
+            for r in range(i, j):
+                if marks[r] and n[r]:
+                    out[r], gone[r] = s.kept(r - i, texts[r], marks[r])
         new = pa.array(out, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(gone), new, *b.columns[2:]], ["n_sentences", "n_removed", "text", *b.schema.names[2:]])
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows with repeated sentences taken out of the text, and ``n_sentences`` and ``n_removed`` added (or replaced)."""
+    """All rows with repeated sentences and pieces taken out of the text, and ``n_sentences`` and ``n_removed`` added (or replaced).
+
+    n_removed: sentences that lost words, all of them or the words of a piece.
+    """
     rest = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed") and c != text]
     body = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in rest))
     kind = docs.select(F.col(f"`{id_col}`").alias("id")).schema["id"].dataType.simpleString()
@@ -136,7 +181,7 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated spans; a document of which nothing is left goes."""
-    done = remove_repeated_spans(docs).where("n_sentences > n_removed")
+    done = remove_repeated_spans(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -144,7 +189,8 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
     """The same by plain Python over (id, text), ids distinct. For tests."""
     import re
 
-    runs, cutting = {}, {}
+    runs, cutting, pieces, words = {}, {}, {}, {}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for i, text in rows:
         parts, start = [], 0
         found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
@@ -161,15 +207,23 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
             enough = lambda a, b: b - a + 1 >= MIN_SENTENCES and sum(map(len, parts[a : b + 1])) >= MIN_WORDS  # noqa: E731, B023
             found_runs |= {(k, b) for b in [next((b for b in range(k, len(parts)) if enough(k, b)), None)] if b is not None}
             found_runs |= {(a, k) for a in [next((a for a in range(k, -1, -1) if enough(a, k)), None)] if a is not None}
-        low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         for a, b in found_runs:
             key = tuple(tuple(m[0].translate(low) for m in p) for p in parts[a : b + 1])
             runs.setdefault(key, []).append((i, a, b))
+        words[i] = [m[0].translate(low) for m in found]
+        # the order of pieces is the operator's: by hash
+        sums = RangeHash(Words([(text or "").encode()]).hash)
+        rank = [int(mix64(sums(np.array([k]), np.array([k + PIECE])) ^ U(0x70696563))[0]) for k in range(len(found) - PIECE + 1)]
+        for at in {min(range(k, k + PASSAGE - PIECE + 1), key=lambda p: (rank[p], p)) for k in range(len(found) - PASSAGE + 1)}:
+            pieces.setdefault(tuple(words[i][at : at + PIECE]), []).append((i, at))
     gone = {(i, k) for v in runs.values() for i, a, b in sorted(v)[1:] for k in range(a, b + 1)}
+    cut_out = {(i, k) for v in pieces.values() for i, at in sorted(v)[1:] for k in range(at, at + PIECE)}
     out = {}
     for i, text in rows:
-        edges = [p[0].start() for p in cutting[i]] + [len(text or "")]
-        out[i] = text if not cutting[i] else text[: edges[0]] + "".join(text[edges[k] : edges[k + 1]] for k in range(len(cutting[i])) if (i, k) not in gone)
+        flat = [(k, m) for k, p in enumerate(cutting[i]) for m in p]
+        edges = [m.start() for _, m in flat] + [len(text or "")]
+        stays = [text[edges[x] : edges[x + 1]] for x, (k, _) in enumerate(flat) if (i, k) not in gone and (i, x) not in cut_out]
+        out[i] = text[: edges[0]] + "".join(stays) if flat else text
     return out
 
 
