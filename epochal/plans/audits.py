@@ -24,6 +24,13 @@ def matrix_gaps(spark, sf_dir):
     return A.matrix_gaps(r, c, l.select("l_orderkey", "l_linenumber", "l_linestatus").distinct(), "l_orderkey", "l_linenumber", "l_linestatus")
 
 
+def matrix_gaps_whole(spark, sf_dir):
+    """The same for every order; matrix_gaps has the orders of its SQL. Tested against brute force."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus").distinct()
+    r, c = l.select("l_orderkey", "l_linenumber").distinct(), l.select("l_orderkey", "l_linestatus").distinct()
+    return A.matrix_gaps(r, c, l, "l_orderkey", "l_linenumber", "l_linestatus")
+
+
 def exclude_known(spark, sf_dir):
     """Customers of nation 0 are released; others of the same segment and balance sign go, by steps."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.array("c_mktsegment", F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string"))).alias("tags"))
@@ -108,7 +115,7 @@ def temperature(spark, sf_dir):
     return A.temperature(d.withColumn("z", (F.col("doc_id") % 7) - 3.0 + 2 * F.col("quality")), ["lang"], "z", "quality")
 
 
-_NAMES = """strict_merge matrix_gaps exclude_known version_delta field_changes fingerprints longest_and_hashed answered_by_all chunked_lines relation_vectors
+_NAMES = """strict_merge matrix_gaps matrix_gaps_whole exclude_known version_delta field_changes fingerprints longest_and_hashed answered_by_all chunked_lines relation_vectors
 verify_predictions power_floor question_uniqueness cross_partition balanced_assignment temperature""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

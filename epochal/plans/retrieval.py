@@ -64,6 +64,12 @@ def mention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.mention_score(T.tokens(F.col("candidate")), ref), 6).alias("score"))
 
 
+def mention_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far all words of the reference are mentioned in the candidate; mention_scores has the five words of its SQL."""
+    score = T.mention_score(T.tokens(F.col("candidate")), T.tokens(F.col("reference")))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.stable_id("u", F.col("doc_id"), F.col("lang")).alias("unit"), T.stable_bucket("split", F.col("doc_id"), 1000).alias("bucket"), F.round(T.hash_fraction("s", F.col("doc_id")), 9).alias("fraction"))
 
@@ -175,7 +181,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "answer_scores": answer_scores, "rouge_l": rouge_l, "text_normal_forms": text_normal_forms, "shingle_counts": shingle_counts, "token_jaccard": token_jaccard,
-    "mention_scores": mention_scores, "stable_ids": stable_ids, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion,
+    "mention_scores": mention_scores, "mention_scores_whole": mention_scores_whole, "stable_ids": stable_ids, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion,
     "retrieval_metrics": retrieval_metrics, "min_max_scaled": min_max_scaled, "semantic_dedup": semantic_dedup, "temporal_rerank": temporal_rerank,
     "relative_scores": relative_scores, "status_rates": status_rates, "graph_two_hop": graph_two_hop, "graph_degree": graph_degree, "components": components,
 }
