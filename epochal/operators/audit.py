@@ -154,6 +154,19 @@ def cross_partition(pairs: DataFrame, members: DataFrame, id_col: str, partition
     return j.where("pa <> pb").select("a", "b", "pa", "pb")
 
 
+def cross_partition_near(pairs: DataFrame, classes: DataFrame, members: DataFrame, id_col: str, partition: str) -> DataFrame:
+    """(a, b, pa, pb): for every member a its smallest near duplicate b in each other partition that has one (O231).
+
+    pairs: a, b of representatives; classes: id, representative. One row of each class and partition travels, not pairs of members.
+    """
+    m = classes.select(F.col(id_col).alias("a"), "representative").join(members.select(F.col(id_col).alias("a"), F.col(partition).alias("pa")), "a")
+    heads = m.groupBy(F.col("representative").alias("to"), F.col("pa").alias("pb")).agg(F.min("a").alias("b"))
+    own = classes.select(F.col("representative"), F.col("representative").alias("to")).distinct()
+    near = own.union(pairs.select("a", "b")).union(pairs.select("b", "a"))
+    reach = near.join(heads, "to").groupBy("representative", "pb").agg(F.min("b").alias("b"))
+    return m.join(reach, "representative").where("pa <> pb").select("a", "b", "pa", "pb")
+
+
 def temperature(df: DataFrame, by: list[str], logit: str, label: str) -> DataFrame:
     """Temperature of least log loss of each group, by golden-section search on pre-binned logits (O216)."""
     binned = df.groupBy(*by, F.round(logit, 3).alias("z"), F.col(label).alias("y")).agg(F.count("*").cast("double").alias("n"))

@@ -104,6 +104,12 @@ def cross_partition(spark, sf_dir):
     return A.cross_partition(pairs, C.stable_splits(d, "doc_id"), "doc_id", "split")
 
 
+def cross_partition_near(spark, sf_dir):
+    """Every document with its smallest near duplicate (similarity 0.9, copies included) in each other split. Tested against brute force."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return A.cross_partition_near(C.near_duplicates(d), C.near_duplicate_members(d), C.stable_splits(d, "doc_id"), "doc_id", "split")
+
+
 def balanced_assignment(spark, sf_dir):
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return A.balanced_assignment(d, "doc_id", "n_chars", 7).groupBy("rater").agg(F.count("*").alias("units"), F.sum("n_chars").alias("cost"))
@@ -116,7 +122,7 @@ def temperature(spark, sf_dir):
 
 
 _NAMES = """strict_merge matrix_gaps matrix_gaps_whole exclude_known version_delta field_changes fingerprints longest_and_hashed answered_by_all chunked_lines relation_vectors
-verify_predictions power_floor question_uniqueness cross_partition balanced_assignment temperature""".split()
+verify_predictions power_floor question_uniqueness cross_partition cross_partition_near balanced_assignment temperature""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _SPLIT = "CASE WHEN b < 600 THEN 'train' WHEN b < 750 THEN 'dev' WHEN b < 950 THEN 'test_auto' ELSE 'reserve' END"

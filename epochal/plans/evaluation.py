@@ -201,6 +201,11 @@ def near_dup_pairs(spark, sf_dir):
     return _rounded(C.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def near_dup_members(spark, sf_dir):
+    """The documents of each representative in near_dup_pairs."""
+    return C.near_duplicate_members(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def violations(spark, sf_dir):
     """Integrity rules over orders and line items (O242): foreign keys, uniqueness, interval order, visibility."""
     o, l, c, f = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer"), facts_orders(spark, sf_dir)
@@ -228,7 +233,7 @@ def usage_totals(spark, sf_dir):
 
 _NAMES = """spearman kendall_tau_b auroc_ap calibration aurc risk_coverage kappa per_class confusion krippendorff_alpha wilson_rates holm mcnemar mcnemar_p
 percentiles cluster_bootstrap sign_flip_test paired_difference label_cube field_performance macro_means majority_vote peer_agreement stable_splits quotas
-round_robin one_per_series conflict_quarantine exact_dedup oversized_groups near_dup_pairs violations coverage_counts usage_totals""".split()
+round_robin one_per_series conflict_quarantine exact_dedup oversized_groups near_dup_pairs near_dup_members violations coverage_counts usage_totals""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _MID = lambda v: f"rank() OVER (PARTITION BY lang ORDER BY {v}) + (count(*) OVER (PARTITION BY lang, {v}) - 1) / 2.0::DOUBLE"
