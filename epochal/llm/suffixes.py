@@ -6,7 +6,7 @@ The suffixes of 100 TB can't be exchanged one by one. Three facts keep the sort
   by a bitmap of bounded size (where it fills up, more entries are exchanged and none is lost).
 - One entry serves all windows of an anchor (about 14): the suffix from the anchor, then the text before it read backwards,
   as far as its windows reach. Equal entries hold equal windows.
-- Equal texts are one text, of the smallest id; its copies are removed whole.
+- Equal texts are one text, of the smallest id; its copies are removed whole. A sender enters one copy only.
 
 Entries are sorted in runs, and equal ones of a run collapse to the smallest id at once (so a passage in a third of all
 documents leaves each sender once). Runs are front-coded (length of the prefix shared with the entry before, then the rest),
@@ -15,6 +15,9 @@ prefixes known to be equal are never compared again. In merged order, equal entr
 of a k-gram; where these differ, their windows are compared one by one. A k-gram of more than HEAVY texts is entered window by
 window instead, as 50-byte suffixes: nothing of it needs to be held, and each run sends a window once.
 
+The windows of an anchor start within REACH bytes of each other, so those that repeat cover one run of bytes. Runs are dealt by
+text and joined there: one row for each text that loses anything, which meets its text once.
+
 Null and empty texts have no bytes. A text shorter than the window keeps everything. Rows of the same id are not smaller than
 each other; null ids are the largest. Texts are told apart, and windows within a k-gram compared, by 64-bit hashes.
 """
@@ -37,6 +40,8 @@ WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM  # bytes before the anchor that a window may start
 WIDTH = 1 + WINDOW + REACH + 2  # kind, suffix, text before, first and last offset
 HEAVY, FLUSH, NO_ID = 100_000, 3_000_000, np.iinfo(np.int64).max
+#: Sampled k-grams a range, and bytes of text of which they are taken: they place the ranges and change no result.
+HEADS, SAMPLE_BYTES = 256, 32_000_000
 #: Bits (as a power of two) of the bitmaps of shared k-grams, and of marked texts.
 MAX_BITS, MARK_BITS = 28, 22
 _LOW = U((1 << 32) - 1)
@@ -93,6 +98,13 @@ def _fingerprints(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def _one_copy(texts: list[bytes | None], fps: np.ndarray, ids: np.ndarray) -> None:
+    """Empty all but one text of the smallest id of each fingerprint."""
+    order = np.lexsort((ids, fps))
+    for i in order[1:][fps[order[1:]] == fps[order[:-1]]].tolist():
+        texts[i] = None
+
+
 def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         texts = to_bytes(b.column(1))
@@ -119,6 +131,7 @@ def _deal(n_slices: int):
             for b in it:
                 texts = to_bytes(b.column(0))
                 fps = _fingerprints(texts)
+                _one_copy(texts, fps, np.zeros(len(texts), np.int64))
                 for i, j in chunks(texts):
                     a = Anchors(texts[i:j])
                     if len(a.doc):
@@ -245,14 +258,27 @@ def _as_strings(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
-def _all_windows(rows: np.ndarray) -> np.ndarray:
-    """Bit l: the window that starts l bytes before the place."""
-    near, far = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
-    return np.where(rows[:, 0] == 1, 1, (1 << (far + 1)) - (1 << near)).astype(np.uint32)
+def _reach(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far before an entry's place its windows start: (largest, smallest distance)."""
+    whole = rows[:, 0] == 1
+    return np.where(whole, 0, rows[:, -1]).astype(np.int64), np.where(whole, 0, rows[:, -2]).astype(np.int64)
+
+
+def _deal_runs(n_slices: int, fp: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Byte runs to the slices of their texts: fingerprints, ids, numbers of runs, begins, sizes."""
+    order = np.lexsort((ids, fp))  # by fingerprint, hence by slice
+    fp, ids, begin, size = fp[order], ids[order], begin[order], size[order]
+    bounds = np.searchsorted(slice_of(fp, n_slices), np.arange(n_slices + 1))
+    for s in range(n_slices):
+        i, j = bounds[s], bounds[s + 1]
+        if j > i:
+            first = np.flatnonzero(np.concatenate([[True], (fp[i + 1 : j] != fp[i : j - 1]) | (ids[i + 1 : j] != ids[i : j - 1])]))
+            count = np.diff(np.append(first, j - i))
+            yield s, pack(fp[i:j][first], ids[i:j][first], count.astype(np.uint32), begin[i:j].astype(np.uint32), size[i:j].astype(np.uint8))
 
 
 def _send_runs(sent, splitters: np.ndarray, n_slices: int):
-    """Front-coded sorted runs to range slices; repeats found here (fp, id, place, windows) to any slice."""
+    """Front-coded sorted runs (6 arrays) to range slices; byte runs of repeats found here (5 arrays) to their texts' slices."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
@@ -264,7 +290,8 @@ def _send_runs(sent, splitters: np.ndarray, n_slices: int):
             least = np.minimum.reduceat(ids, first)
             again = ids > np.repeat(least, size)
             if again.any():
-                yield int(fp[0] % U(n_slices)), pack(fp[again], ids[again], place[again].astype(np.uint32), _all_windows(rows[again]))
+                far, near = _reach(rows[again])
+                yield from _deal_runs(n_slices, fp[again], ids[again], place[again] - far, far - near + WINDOW)
             rows, fp, ids, place, text = rows[~again], fp[~again], ids[~again], place[~again], text[~again]
             lcp = np.zeros(len(rows), np.uint8)
             if len(rows) > 1:
@@ -289,6 +316,7 @@ def _send_runs(sent, splitters: np.ndarray, n_slices: int):
                 texts = to_bytes(b.column("text"))
                 fps = _fingerprints(texts)
                 ids = b.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                _one_copy(texts, fps, ids)
                 for i, j in chunks(texts):
                     e, doc, place = _entries(Anchors(texts[i:j]), sent.value)
                     if len(e):
@@ -305,15 +333,16 @@ def _send_runs(sent, splitters: np.ndarray, n_slices: int):
     return run
 
 
-def _sample(sent):
-    """Every 64th k-gram by hash, of the shared ones: for even ranges only."""
+def _sample(sent, rate: float):
+    """A part of the shared k-grams by hash, for even ranges only."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = to_bytes(b.column("text"))
+            fps = _fingerprints(texts)
             for i, j in chunks(texts):
                 e, doc, place = _entries(Anchors(texts[i:j]), sent.value)
-                pick = mix64(place.astype(U) * U(31) + doc.astype(U)) % U(64) == 0
+                pick = mix64(fps[i:j][doc] + place.astype(U)) >> U(32) < U(int(rate * 2**32))
                 yield pa.record_batch([pa.array([x.tobytes() for x in e[pick][:, : 1 + GRAM]], pa.binary())], ["head"])
 
     return run
@@ -392,40 +421,44 @@ def merge(all_runs: list[Run]) -> Iterator[tuple[int, Run]]:
         winner = x
 
 
-def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Repeats (fp, id, place, windows) found by merging the runs of a range, and those that the senders found."""
-    parts = [unpack(b) for b in blobs]
-    for own in (x for x in parts if len(x) == 4):
-        yield _repeats(*own)
-    all_runs = [Run(x) for x in parts if len(x) == 6]
-    del parts
+def _merge_runs(n_slices: int):
+    """Byte runs of the repeats found by merging the entry runs of a range, and of those that senders found, by text slice."""
+
+    def fn(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(b) for b in blobs]
+        yield from batches((s, pack(*x)) for x in parts if len(x) == 5)
+        yield from batches(_merged(n_slices, [Run(x) for x in parts if len(x) == 6]))
+
+    return fn
+
+
+def _merged(n_slices: int, all_runs: list[Run]) -> Iterator[tuple[int, bytes]]:
     texts: list[bytes] = []  # different entries, of k-grams with more than one
     least: list[int] = []
     kept: list[tuple[list, list]] = []
-    found_fp: list[int] = []
-    found_id: list[int] = []
-    found_place: list[int] = []
-    found_mask: list[int] = []
+    found: tuple[list, list, list, list] = ([], [], [], [])  # fingerprints, ids, begins, sizes
     state: list = [b"", [], [], []]
 
+    def take(f: int, i: int, begin: int, size: int) -> None:
+        found[0].append(f), found[1].append(i), found[2].append(begin), found[3].append(size)
+
     def close() -> None:
         """The entries equal to state[0] are complete: all but those of the smallest id repeat it."""
         text, fps, ids, places = state
         if not ids:
             return
         m = min(ids)
-        mask = 1 if text[0] == 1 else (1 << (text[-1] + 1)) - (1 << text[-2])
+        far, near = (0, 0) if text[0] == 1 else (text[-1], text[-2])
         own: tuple[list, list] = ([], [])
+        same = {f for f, i in zip(fps, ids, strict=True) if i == m}
         for f, i, p in zip(fps, ids, places, strict=True):
-            if i > m:
-                found_fp.append(f), found_id.append(i), found_place.append(p), found_mask.append(mask)
-            else:
+            if i == m:
                 own[0].append(f), own[1].append(p)
+            elif f not in same:  # else a copy of a whole text
+                take(f, i, p - far, far - near + WINDOW)
         if text[0] == 0:
             texts.append(text), least.append(m), kept.append(own)
 
-    out: list[pa.RecordBatch] = []
-
     def windows() -> None:
         """Compare the windows of the different entries held, which are whole k-grams."""
         if len(texts) > 1:
@@ -441,17 +474,19 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             first, count = runs(h[order])
             smallest = np.minimum.reduceat(ids[row[order]], first)
             again = order[ids[row[order]] > np.repeat(smallest, count)]
-            mask = np.zeros(len(rows), np.uint32)
-            np.bitwise_or.at(mask, row[again], (1 << off[again]).astype(np.uint32))
-            for r in np.flatnonzero(mask):
-                for f, p in zip(kept[r][0], kept[r][1], strict=True):
-                    found_fp.append(f), found_id.append(least[r]), found_place.append(p), found_mask.append(int(mask[r]))
+            high, low = np.full(len(rows), -1), np.full(len(rows), WINDOW)
+            np.maximum.at(high, row[again], off[again])
+            np.minimum.at(low, row[again], off[again])
+            for r in np.flatnonzero(high >= 0).tolist():
+                for f, p in zip(*kept[r], strict=True):
+                    take(f, least[r], p - int(high[r]), int(high[r] - low[r]) + WINDOW)
         texts.clear(), least.clear(), kept.clear()
 
-    def flush() -> None:
-        if found_fp:
-            out.append(_repeats(np.array(found_fp, U), np.array(found_id, np.int64), np.array(found_place), np.array(found_mask, np.uint32)))
-            found_fp.clear(), found_id.clear(), found_place.clear(), found_mask.clear()
+    def flush() -> Iterator[tuple[int, bytes]]:
+        if found[0]:
+            yield from _deal_runs(n_slices, np.array(found[0], U), np.array(found[1], np.int64), np.array(found[2]), np.array(found[3]))
+            for x in found:
+                x.clear()
 
     single = 0
     for h, r in merge(all_runs):
@@ -463,54 +498,63 @@ def _merge_runs(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
                 single = len(texts)
                 if single > 20_000:
                     windows()
-                    flush()
                     single = 0
+                if len(found[0]) > 1_000_000:
+                    yield from flush()
             state = [r.text, [], [], []]
         state[1].append(int(r.fp[r.i])), state[2].append(int(r.ids[r.i])), state[3].append(int(r.place[r.i]))
     close()
     windows()
-    flush()
-    yield from out
+    yield from flush()
 
 
-def _repeats(fp: np.ndarray, ids: np.ndarray, place: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-    """One row per text and id: places and windows."""
-    order = np.lexsort((ids, fp))
-    fp, ids, place, mask = fp[order], ids[order], place[order].astype(np.uint32), mask[order]
-    first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (ids[1:] != ids[:-1])]))
-    pair = list(zip(first.tolist(), [*first[1:].tolist(), len(fp)], strict=True))
-    return pa.record_batch(
-        [pa.array(signed(fp[first])), pa.array(ids[first]), pa.array([place[a:b].tobytes() for a, b in pair], pa.binary()), pa.array([mask[a:b].tobytes() for a, b in pair], pa.binary())],
-        ["fp", "id", "places", "masks"],
-    )
+_MARKS = "fp long, id long, begin binary, size binary"
 
 
-_REPEATS = "fp long, id long, places binary, masks binary"
+def _marks(s: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """One row per text: its smallest id that has repeats, and their byte runs, in order and apart."""
+    parts = [unpack(b) for b in blobs]
+    fp, ids = (np.concatenate([np.repeat(x[k], x[2]) for x in parts]) for k in (0, 1))
+    begin, size = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (3, 4))
+    order = np.lexsort((ids, fp))
+    first, count = runs(fp[order])
+    order = order[ids[order] == np.repeat(ids[order[first]], count)]
+    order = order[np.lexsort((begin[order], fp[order]))]
+    fp, ids, begin, end = fp[order], ids[order], begin[order], (begin + size)[order]
+    first, count = runs(fp)
+    base = np.repeat(np.arange(len(first)) << 33, count)
+    reach = np.maximum.accumulate(base + end)
+    new = np.concatenate([[True], base[1:] + begin[1:] > reach[:-1]])  # another text, or bytes between
+    at = np.flatnonzero(new)
+    begin, end = begin[at].astype(np.uint32), (reach - base)[np.append(at[1:], len(fp)) - 1].astype(np.uint32)
+    fp, ids = fp[at], ids[at]
+    first, count = runs(fp)
+    step = 20_000
+    for k in range(0, len(first), step):
+        x, n = first[k : k + step].tolist(), count[k : k + step].tolist()
+        cols = [pa.array([v[a : a + c].tobytes() for a, c in zip(x, n, strict=True)], pa.binary()) for v in (begin, end - begin)]
+        yield pa.record_batch([pa.array(signed(fp[x])), pa.array(ids[x]), *cols], ["fp", "id", "begin", "size"])
 
 
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, sha string"
 
 
 def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Result rows of texts: a copy of a smaller document's text goes whole, others lose their repeated windows."""
+    """Result rows of texts: a copy of a smaller document's text goes whole, others lose their byte runs."""
     for b in it:
         cols: list[list] = [[], [], [], [], []]
-        columns = (b.column(c).to_pylist() for c in ("id", "least", "places", "masks"))
-        for text, i, least, places, masks in zip(to_bytes(b.column("text")), *columns, strict=True):
+        columns = (b.column(c).to_pylist() for c in ("id", "least", "begin", "size"))
+        for text, i, least, begin, size in zip(to_bytes(b.column("text")), *columns, strict=True):
             text = text or b""
-            edge = np.zeros(len(text) + 1, np.int32)
+            gone: list[tuple[int, int]] = []
             if (NO_ID if i is None else i) > least:
-                edge[0] = int(len(text) >= WINDOW)
-            elif places:
-                place = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
-                mask = np.frombuffer(b"".join(masks), np.uint32)
-                for off in range(REACH + 1):
-                    p = place[mask >> off & 1 == 1] - off
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + WINDOW, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            n = int(gone.sum())
-            row = (len(text), n, int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes() if n else None, hashlib.sha256(text).hexdigest())
+                gone = [(0, len(text))] if len(text) >= WINDOW else []
+            elif begin is not None:
+                start = np.frombuffer(begin, np.uint32).astype(np.int64)
+                gone = list(zip(start.tolist(), (start + np.frombuffer(size, np.uint32)).tolist(), strict=True))
+            edges = [0, *(x for pair in gone for x in pair), len(text)]
+            kept = b"".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if gone else None
+            row = (len(text), sum(y - x for x, y in gone), len(gone), kept, hashlib.sha256(text).hexdigest())
             for c, x in zip(cols, row, strict=True):
                 c.append(x)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
@@ -519,7 +563,7 @@ def _cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept, sha) of every row. kept: the bytes that stay (null: nothing was removed, the
-    text is whole); sha: SHA-256 of the text as it came. Ids are integers.
+    text is whole); sha: SHA-256 of the text as it came. Ids are integers, or strings of integers; other ids are an error.
     """
     spark = docs.sparkSession
     n = parallelism(spark)
@@ -527,25 +571,30 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "
     seen = cut(source.mapInArrow(_scan, "id long, fp long, n_bytes long, sha string"))
     top = F.coalesce("id", F.lit(int(NO_ID)))
     smallest = seen.groupBy("fp").agg(F.min(top).alias("least"))
+    total = int(seen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     dealt = source.select("text").mapInArrow(_deal(n), SLICED)
-    bits = 1 << max(13, min(MAX_BITS, int(seen.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]).bit_length()) - n.bit_length())
+    bits = 1 << max(13, min(MAX_BITS, total.bit_length()) - n.bit_length())
     shared = Shared(n, bits)
     for part, blob in gathered(dealt, n, _segments(n, bits, heavy), SLICED).collect():  # at most 2**MAX_BITS bits twice
         shared.maps[0, part], shared.maps[1, part] = unpack(blob)
     sent = spark.sparkContext.broadcast(shared)
-    heads = sorted(bytes(r[0]) for r in source.where("crc32(CAST(id AS STRING)) % 64 = 0").mapInArrow(_sample(sent), "head binary").limit(100_000).collect())
+    # about HEADS k-grams a slice, from a part of the documents by hash
+    share = max(1, min(64, total // SAMPLE_BYTES))
+    rate = min(1.0, HEADS * n * share * 14 / max(total, 1))
+    some = source.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    heads = sorted(bytes(r[0]) for r in some.mapInArrow(_sample(sent, rate), "head binary").collect())
     step = max(1, len(heads) // n)
     splitters = np.array(sorted(set(heads[step::step]))[: n - 1], f"S{1 + GRAM}")
-    repeats = cut(gathered(source.mapInArrow(_send_runs(sent, splitters, n), SLICED), n, _merge_runs, _REPEATS))
-    repeats = repeats.join(smallest, "fp").where(F.col("id") == F.col("least"))  # copies of a text are removed whole
-    marks = repeats.groupBy("fp").agg(F.collect_list("places").alias("places"), F.collect_list("masks").alias("masks"))
+    found = gathered(source.mapInArrow(_send_runs(sent, splitters, n), SLICED), n, _merge_runs(n), SLICED)
+    marks = cut(gathered(found, n, _marks, _MARKS))
+    marks = marks.join(smallest, "fp").where(F.col("id") == F.col("least")).select("fp", "begin", "size")  # copies of a text are removed whole
     marked = np.zeros(1 << MARK_BITS, bool)
     for part, blob in marks.select("fp").coalesce(4).mapInArrow(_bitmap(MARK_BITS), SLICED).collect():
         marked[part << 16 : (part + 1) << 16] |= np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
     sent_marks = spark.sparkContext.broadcast(marked)
     # texts with marks are shuffled once and cut where they meet their marks; all others are told from their digests
     some = source.mapInArrow(_with_fingerprint(sent_marks, MARK_BITS), "fp long, id long, text string")
-    done = some.join(smallest.join(marks, "fp", "left"), "fp").select("id", "text", "least", "places", "masks").mapInArrow(_cut_out, _RESULT)
+    done = some.join(smallest.join(marks, "fp", "left"), "fp").select("id", "text", "least", "begin", "size").mapInArrow(_cut_out, _RESULT)
     rest = seen.mapInArrow(_marked(sent_marks, MARK_BITS, False), "id long, fp long, n_bytes long, sha string").join(smallest, "fp")
     copy = (top > F.col("least")) & (F.col("n_bytes") >= WINDOW)
     rest = rest.select(
