@@ -1,7 +1,7 @@
 """Rows of packed numpy arrays: a shuffle of a few large binary rows in place of many small ones.
 
-A sender cuts its arrays by slice and emits (slice, blob); all blobs of a slice meet in one task. The number of slices is the
-session's shuffle parallelism, so a slice shrinks as the cluster is sized up.
+A sender cuts its arrays by slice and emits (slice, blob); all blobs of a slice meet in one task. The number of slices follows
+the size of the input as the optimizer estimates it, so that a slice fits in a task's memory at any size.
 """
 
 from __future__ import annotations
@@ -47,6 +47,22 @@ def batches(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
 
+def shrink(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative integers as (bytes, values of 255 and more)."""
+    return np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.uint64)
+
+
+def grow(small: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = more.astype(np.int64)
+    return out
+
+
+def slices_for(df: DataFrame, size: int, least: int) -> int:
+    """A slice for every ``size`` bytes that the optimizer expects of df."""
+    return max(least, min(1 << 20, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // size))
+
+
 def slice_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Slice 0 to n - 1 of a uint64 hash by its upper 32 bits: ranges of the hash."""
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
