@@ -60,7 +60,7 @@ def grow(small: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def slices_for(df: DataFrame, size: int, least: int) -> int:
     """A slice for every ``size`` bytes that the optimizer expects of df."""
-    return max(least, min(1 << 20, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // size))
+    return max(least, min(1 << 20, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size))
 
 
 def slice_of(hashes: np.ndarray, n: int) -> np.ndarray:
