@@ -58,9 +58,12 @@ def grow(small: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices_for(df: DataFrame, size: int, least: int) -> int:
-    """A slice for every ``size`` bytes that the optimizer expects of df."""
-    return max(least, min(1 << 20, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size))
+def slices_for(df: DataFrame, size: int, least: int, text: str = "text") -> int:
+    """A slice for every ``size`` bytes that the optimizer expects of df; where it knows nothing, the texts are measured."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if expected >= 1 << 50:
+        expected = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    return max(least, min(1 << 20, expected // size))
 
 
 def slice_of(hashes: np.ndarray, n: int) -> np.ndarray:
