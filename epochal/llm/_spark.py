@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, which cuts the lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is made only where none is set (local tests).
+    The folder is the cluster's ``spark.checkpoint.dir``. One of our own is made only where none is set and all executors are threads
+    of this process, as in tests; on a cluster a folder of one machine is of no use to the others, so that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,6 +39,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until they differ from all columns (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times: a lambda over a one-element array."""
     return F.transform(F.array(value), body)[0]

@@ -35,7 +35,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from epochal.llm._components import components
 from epochal.llm._packed import SLICED, batches, cut_by, gathered, pack, ragged, runs, slice_of, unpack
-from epochal.llm._spark import cut, parallelism, table
+from epochal.llm._spark import cut, free, parallelism, table
 from epochal.llm._text import U, Words, chunks, mix64, shingles, signed, to_bytes
 
 #: Tokens gathered before a sender cuts them into slices, and tokens of a family (block) in one task.
@@ -430,7 +430,7 @@ def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
-def _with_sets(k: int, text: int):
+def _with_sets(k: int, text: int, names: list[str]):
     """Rows with the size and fingerprint of their set. A row without words gets a fingerprint of its own."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +444,7 @@ def _with_sets(k: int, text: int):
                 n[i:j], fp[i:j] = size, f
             own = mix64(np.arange(seen, seen + len(texts), dtype=U) | U(part << 40))
             seen += len(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(signed(np.where(n > 0, fp, own)))], [*b.schema.names, "__n", "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(signed(np.where(n > 0, fp, own)))], [*b.schema.names, *names])
 
     return run
 
@@ -456,12 +456,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _, grouped = _linked(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")), 5, 80, components_only=True)
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("s"))
-    keep = best.select(F.col("s.fp").alias("__set"), F.col("s.least").alias("__id"))
-    schema = StructType([*docs.schema.fields, StructField("__n", LongType()), StructField("__fp", LongType())])
-    rows = docs.mapInArrow(_with_sets(5, docs.columns.index("text")), schema)
-    held = rows.join(keep, F.col("__fp") == F.col("__set"), "left")
-    held = held.where((F.col("__n") == 0) | (F.col("__set").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__id"))))
-    return held.dropDuplicates(["__fp"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    n, fp, of, least = free(docs.columns, "__n", "__fp", "__set", "__id")
+    keep = best.select(F.col("s.fp").alias(of), F.col("s.least").alias(least))
+    schema = StructType([*docs.schema.fields, StructField(n, LongType()), StructField(fp, LongType())])
+    rows = docs.mapInArrow(_with_sets(5, docs.columns.index("text"), [n, fp]), schema)
+    held = rows.join(keep, F.col(fp) == F.col(of), "left")
+    held = held.where((F.col(n) == 0) | (F.col(of).isNotNull() & F.col("doc_id").eqNullSafe(F.col(least))))
+    return held.dropDuplicates([fp]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 OP6_SQL = """

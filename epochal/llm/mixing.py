@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from epochal.llm._spark import cut, small, table
+from epochal.llm._spark import cut, free, small, table
 from epochal.llm.sharding import seeded_key
 
 LEVELS = ("domain", "language", "source_name")
@@ -68,7 +68,7 @@ def leaf_quotas(leaves: DataFrame, levels: list[str], weights: dict[str, dict[st
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, float]] | None = None, budget: float = 1.0, max_epochs: int = 4, id_col: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
-    """The mixture: a document's row once for each epoch that takes it, with ``__epoch`` (from 0) added.
+    """The mixture: a document's row once for each epoch that takes it, with ``__epoch`` (from 0) added (or replaced).
 
     ``levels``: name and expression of each level, root first. ``budget``: tokens wanted as a part of those there are.
     ``weights``: level -> node -> weight; 1 where not given.
@@ -102,13 +102,15 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
         .agg(F.max("key").alias("last_key"))
     )
     plan = small(cut(quotas.join(last, names, "left").select(*names, "epochs", "last_key")))
-    taken = docs.select("*", *(v.alias(f"__{k}") for k, v in node.items()))
-    plan = plan.select(*(F.col(k).alias(f"__{k}") for k in names), F.col("epochs").alias("__epochs"), F.col("last_key").alias("__last"))
-    taken = taken.join(plan, [f"__{k}" for k in names])
-    copies = F.col("__epochs") + F.coalesce(key(doc, F.col("__epochs")) <= F.col("__last"), F.lit(False)).cast("int")
-    taken = taken.withColumn("__copies", copies).where("__copies > 0")
-    taken = taken.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), "__epoch")
+    rest = [c for c in docs.columns if c.lower() != "__epoch"]
+    epochs, last, copies, *own = free(docs.columns, "__epochs", "__last", "__copies", *(f"__{k}" for k in names))
+    taken = docs.select(*(F.col(f"`{c}`") for c in rest), *(v.alias(o) for o, v in zip(own, node.values(), strict=True)))
+    plan = plan.select(*(F.col(k).alias(o) for k, o in zip(names, own, strict=True)), F.col("epochs").alias(epochs), F.col("last_key").alias(last))
+    taken = taken.join(plan, own)
+    times = F.col(epochs) + F.coalesce(key(doc, F.col(epochs)) <= F.col(last), F.lit(False)).cast("int")
+    taken = taken.withColumn(copies, times).where(F.col(copies) > 0)
+    taken = taken.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    return taken.select(*(F.col(f"`{c}`") for c in rest), "__epoch")
 
 
 def corpus_levels() -> dict[str, Column]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm._packed import ragged
-from epochal.llm._spark import table
+from epochal.llm._spark import free, table
 from epochal.llm._text import RangeHash, U, chunks, mix64, to_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -297,7 +297,8 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out), mask=null)
                 yield pa.RecordBatch.from_arrays([lists, ok, *(b.column(k).slice(i, j - i) for k in range(2, b.num_columns))], ["pieces", "lossless", *b.schema.names[2:]])
 
-    body = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{id_col}`").alias("__id"), *(F.col(f"`{c}`") for c in rest))
+    names = free(docs.columns, "__text", "__id")
+    body = docs.select(F.col(f"`{text}`").cast("string").alias(names[0]), F.col(f"`{id_col}`").alias(names[1]), *(F.col(f"`{c}`") for c in rest))
     fields = "".join(f", `{c}` {body.schema[2 + k].dataType.simpleString()}" for k, c in enumerate(rest))
     return body.mapInArrow(run, "pieces array<int>, lossless boolean" + fields).select(*(F.col(f"`{c}`") for c in rest), "pieces", "lossless")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm._spark import let, table, words
+from epochal.llm._spark import free, let, table, words
 
 #: Frequent function words of the corpus languages (en, de, fr, es).
 STOP_WORDS = (
@@ -101,15 +101,16 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
     mine = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept"]
     rest = [c for c in docs.columns if c.lower() not in mine]
     # exploded, not projected: a filter on the verdict would be pushed into a projection and evaluate the measures again
-    m = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(measures(F.col(f"`{text}`")))).alias("__m"))
-    n = F.greatest(F.col("__m.n_words"), F.lit(1))
+    (own,) = free(docs.columns, "__m")
+    m = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(measures(F.col(f"`{text}`")))).alias(own))
+    n = F.greatest(F.col(f"{own}.n_words"), F.lit(1))
     value = {
-        "n_words": F.col("__m.n_words"),
-        "mean_word_chars": F.col("__m.word_chars") / n,
-        "symbol_ratio": F.col("__m.n_symbols") / n,
-        "stop_ratio": F.col("__m.n_stop") / n,
-        "dup_line_ratio": F.col("__m.lines.dup") / F.greatest(F.col("__m.lines.n"), F.lit(1)),
-        "repeat_ratio": F.col("__m.n_repeat_words") / n,
+        "n_words": F.col(f"{own}.n_words"),
+        "mean_word_chars": F.col(f"{own}.word_chars") / n,
+        "symbol_ratio": F.col(f"{own}.n_symbols") / n,
+        "stop_ratio": F.col(f"{own}.n_stop") / n,
+        "dup_line_ratio": F.col(f"{own}.lines.dup") / F.greatest(F.col(f"{own}.lines.n"), F.lit(1)),
+        "repeat_ratio": F.col(f"{own}.n_repeat_words") / n,
     }
     failed = F.array_compact(
         F.array(
@@ -119,14 +120,14 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) ->
             )
         )
     )
-    base = (F.col("__m.n_words") < MIN_WORDS) | (100 * F.col("__m.n_repeat_words") > REPEAT_PERCENT * F.col("__m.n_words"))
+    base = (F.col(f"{own}.n_words") < MIN_WORDS) | (100 * F.col(f"{own}.n_repeat_words") > REPEAT_PERCENT * F.col(f"{own}.n_words"))
     return m.select(
         *(F.col(f"`{c}`") for c in rest),
-        F.col("__m.n_words").alias("n_words"),
-        F.col("__m.word_chars").alias("word_chars"),
-        F.col("__m.n_symbols").alias("n_symbols"),
-        F.col("__m.lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("__m.n_repeat_words").alias("n_repeat_words"),
+        F.col(f"{own}.n_words").alias("n_words"),
+        F.col(f"{own}.word_chars").alias("word_chars"),
+        F.col(f"{own}.n_symbols").alias("n_symbols"),
+        F.col(f"{own}.lines.dup").cast("long").alias("n_dup_lines"),
+        F.col(f"{own}.n_repeat_words").alias("n_repeat_words"),
         base.alias("base_failed"),
         failed.alias("failed_rules"),
         (~base & (F.size(failed) == 0)).alias("kept"),

@@ -8,6 +8,8 @@ Neither ranking puts a source in one task. A source's key space is cut into buck
 ranks the rows of one bucket only. The same is done for the order by fraction. Texts are never shuffled, only ids, keys, sizes
 and checksums.
 
+The order is by hash of (id, checksum, size), so that null or repeated ids of different texts do not meet in one bucket.
+
 Null texts have size 1 and the checksum of the empty text; null sources form a stratum of their own. Repeated rows get slots
 of their own, ordered by id, checksum and size; rows equal in these can be swapped without a difference. An empty table gives
 no rows.
@@ -46,7 +48,7 @@ def interleave(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text: str
             (F.octet_length(t) + 1).cast("long").alias("size"),
             F.crc32(F.encode(t, "UTF-8")).alias("crc"),
             F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum}`").cast("string")), F.lit("null")).alias("stratum"),
-        ).withColumn("key", seeded_key(seed, F.col("id")))
+        ).withColumn("key", seeded_key(seed, F.concat_ws(":", F.col("id").cast("string"), "crc", "size")))
     )
     total = rows.count()
     buckets = min(MAX_BUCKETS, max(total // BUCKET_ROWS, parallelism(spark), 1))

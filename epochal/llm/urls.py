@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm._spark import LOWER, UPPER, cut, small, table
+from epochal.llm._spark import LOWER, UPPER, cut, free, small, table
 
 #: Fixed values: (verdict, rule), a rule being host and path.
 RULES = (
@@ -68,17 +68,28 @@ def _shrunk(nodes: DataFrame, parent_mean: Column, by: str) -> DataFrame:
     )
 
 
-def host_reputation(pages: DataFrame, host: str, outcome: str) -> DataFrame:
+def reputation_host(host: Column) -> Column:
+    """The host without user info and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def host_reputation(pages: DataFrame, host: str, outcome: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row per host: n, k, mean and weight of the posterior good rate, and its upper bound.
 
+    The bound is the normal approximation of the beta posterior's quantile: mean + Z standard deviations.
+
     ``outcome`` is 1, 0 or null (unlabelled).
     """
-    o = F.col(f"`{outcome}`")
+    o, labels = F.col(f"`{outcome}`"), F.lit(1)
+    for s in sorted(suffixes, key=lambda s: s.count(".")):  # the longest that fits
+        labels = F.when((F.col("host") == s) | F.col("host").endswith(f".{s}"), s.count(".") + 1).otherwise(labels)
     hosts = cut(
         pages.groupBy(F.col(f"`{host}`").alias("host"))
         .agg(F.count(o).cast("double").alias("n"), F.coalesce(F.sum(o), F.lit(0)).cast("double").alias("k"))
-        .withColumn("domain", F.substring_index("host", ".", -2))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumn("labels", labels)
+        .withColumn("domain", F.expr("substring_index(host, '.', -labels - 1)"))
+        .withColumn("suffix", F.expr("substring_index(host, '.', -labels)"))
+        .drop("labels")
     )
     total = hosts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m")).select(F.coalesce("m", F.lit(0.5)))
     sums = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -90,26 +101,29 @@ def host_reputation(pages: DataFrame, host: str, outcome: str) -> DataFrame:
     return cut(out.select("host", "n", "k", "mean", "weight", (F.col("mean") + Z * sd).alias("upper")))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", outcome: str | None = None, rules=RULES, min_good: float = MIN_GOOD) -> DataFrame:
+def judge_urls(pages: DataFrame, url: str = "url", outcome: str | None = None, rules=RULES, min_good: float = MIN_GOOD, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Add host, path, rule, verdict, good_mean and good_upper to every page.
 
     ``outcome``: a column of labelled outcomes; None: the pages that the rules decide are the labelled ones (allowed: good,
-    blocked: bad). Columns of these names are replaced; others pass through.
+    blocked: bad). ``suffixes``: public suffixes of several labels (as "co.uk"), below which domains are registered; the default has
+    none, so that a suffix is the last label. User info and ports are no part of a reputation's host. Columns of the names added are
+    replaced; others pass through.
     """
     mine = {"host", "path", "rule", "verdict", "good_mean", "good_upper"}
     rest = [c for c in pages.columns if c.lower() not in mine]
     h, p = split_url(F.col(f"`{url}`"))
     read = pages.select(*(F.col(f"`{c}`") for c in rest), h.alias("host"), p.alias("path"))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
-    read = read.withColumns({"rule": rule, "__said": said})
-    known = F.when(F.col("__said") == "allow", 1).when(F.col("__said") == "block", 0) if outcome is None else F.col(f"`{outcome}`")
-    reputation = host_reputation(read.withColumn("__known", known).select("host", "__known"), "host", "__known")
+    by_rule, label, key = free(pages.columns, "__said", "__known", "__key")
+    read = read.withColumns({"rule": rule, by_rule: said}).withColumn(key, reputation_host(F.col("host")))
+    known = F.when(F.col(by_rule) == "allow", 1).when(F.col(by_rule) == "block", 0) if outcome is None else F.col(f"`{outcome}`")
+    reputation = host_reputation(read.withColumn(label, known).select(key, label), key, label, suffixes)
     judged = read.join(
-        small(reputation.select("host", F.col("mean").alias("good_mean"), F.col("upper").alias("good_upper"))), "host", "left"
+        small(reputation.select(F.col("host").alias(key), F.col("mean").alias("good_mean"), F.col("upper").alias("good_upper"))), key, "left"
     )
     own = F.when(F.col("good_upper") < min_good, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(
-        *(F.col(f"`{c}`") for c in rest), "host", "path", "rule", F.coalesce("__said", own).alias("verdict"), "good_mean", "good_upper"
+        *(F.col(f"`{c}`") for c in rest), "host", "path", "rule", F.coalesce(by_rule, own).alias("verdict"), "good_mean", "good_upper"
     )
 
 
@@ -136,7 +150,7 @@ r AS (SELECT *, CASE {" ".join(f"WHEN {f} THEN '{r}'" for _, r, f in _FITS)} END
 h AS (SELECT host, split_part(host, '.', -1) AS suffix,
   array_to_string(string_split(host, '.')[-2:], '.') AS domain,
   CAST(count(said) AS DOUBLE) AS n, CAST(coalesce(sum(CASE said WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END), 0) AS DOUBLE) AS k
-  FROM r GROUP BY host),
+  FROM (SELECT regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS host, said FROM r) GROUP BY host),
 t AS (SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5) AS m FROM h),
 s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, t GROUP BY suffix),
 {_fit_sql("sx", "s1", "m")},
@@ -145,5 +159,5 @@ d1 AS (SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.k) AS k, any_value(sx_p.m
 h1 AS (SELECT h.host, h.n, h.k, dx_p.mean AS m FROM h JOIN dx_p USING (domain)),
 {_fit_sql("hx", "h1", "m")}
 SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN mean + {Z} * sqrt(mean * (1 - mean) / (weight + 1)) < {MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM r JOIN hx_p ON r.host = hx_p.host
+FROM r JOIN hx_p ON regexp_replace(regexp_replace(r.host, '^.*@', ''), ':[0-9]*$', '') = hx_p.host
 """
