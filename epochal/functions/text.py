@@ -69,26 +69,55 @@ def sentences(x: Column) -> Column:
     return F.filter(F.split(squeezed(x), "(?<=[.!?])\\s+(?=[A-Z0-9])"), lambda s: s != "")
 
 
-#: Phrases that mark an answer as a refusal (O102).
+#: Patterns that mark an answer as a refusal (O102), letter case aside.
 REFUSALS = (
-    "insufficient (evidence|information|context)",
-    "not enough (evidence|information|context)",
-    "cannot (answer|determine|be determined|be answered)",
-    "can't (answer|determine)",
-    "unable to (answer|determine)",
-    "no (evidence|information) (is )?(available|provided)",
-    "do(es)? not (contain|provide|specify)",
+    r"\b(?:cannot|can't|unable to)\s+(?:determine|answer|establish|infer)\b",
+    r"\binsufficient\s+(?:evidence|information)\b",
+    r"\bnot enough\s+(?:evidence|information)\b",
+    r"\b(?:evidence|information)\b.{0,40}\bnot\b.{0,30}\bsufficient\b",
+    r"\bno answer is supported\b",
+    r"\bthe evidence (?:does not|doesn't) (?:establish|support|determine)\b",
+    r"^\s*(?:(?:the\s+)?answer\s+is\s+)?unknown[.!]?\s*$",
+    r"\b(?:answer|identity|result|value)\s+(?:is|remains)\s+unknown\b",
+    r"\bit\s+(?:is|remains)\s+unknown\b",
 )
+#: Cues of a response that declines (O103), letter case aside.
+RESPONSE_CUES = (
+    r"can(?:not|'t)\s+(?:be\s+)?determin(?:e|ed)",
+    r"could\s+not\s+(?:be\s+)?determin(?:e|ed)",
+    r"unable\s+to\s+(?:answer|determine)",
+    r"insufficient(?:\s+\w+){0,3}\s+(?:to\s+)?(?:answer|determine|establish)",
+    r"not\s+enough\s+(?:information|evidence)",
+    r"no(?:\s+\w+){0,2}\s+(?:information|evidence)(?:\s+(?:is|was))?\s+(?:available|provided|shown|found)",
+    r"not(?:\s+\w+){0,3}\s+sufficient\s+to\s+(?:answer|determine|establish)",
+    r"no\s+(?:supported\s+)?answer",
+    r"not\s+possible\s+to\s+determine",
+    r"does\s+not(?:\s+\w+){0,2}\s+(?:provide|state|specify|establish)",
+    r"do\s+not(?:\s+\w+){0,2}\s+(?:provide|state|specify|establish)",
+    r"not\s+(?:provided|stated|specified|established|available)",
+    r"(?:evidence|information)\s+(?:is|was)\s+(?:missing|unavailable)",
+    r"unclear(?:\s+\w+){0,6}\s+(?:evidence|information)",
+    r"conflicting\s+(?:evidence|claims|information|ages|values)",
+    r"conflicts?\s+(?:on|with|about)",
+    r"no\s+definitive\s+answer",
+)
+_CUE = "(?i)(?:" + "|".join(RESPONSE_CUES) + ")"
+_CONTRAST = r"(?i)\b(?:but|however|although|yet)\b"
 
 
 def is_refusal(x: Column) -> Column:
-    return F.lower(x).rlike("|".join(f"({p})" for p in REFUSALS))
+    return squeezed(x).rlike("(?i)" + "|".join(REFUSALS))
 
 
 def response_kind(x: Column) -> Column:
-    """answer, refusal, or hybrid: a refusal with more sentences after a contrast (O103)."""
-    more = (F.size(sentences(x)) > 1) & F.lower(x).rlike("\\b(but|however|although|nevertheless)\\b")
-    return F.when(~is_refusal(x), "answer").when(more, "hybrid").otherwise("refusal")
+    """answer, refusal, or hybrid: a cue and, in a sentence of its own or before the cue, four words that assert something (O103)."""
+    text, strip = squeezed(x), lambda t: F.regexp_replace(t, "^[ ,;:-]+|[ ,;:-]+$", "")
+    enough = lambda t: F.regexp_count(t, F.lit("[A-Za-z0-9]+")) >= 4
+    lead = F.regexp_extract(text, f"(?s)^(.*?){_CUE}", 1)
+    own = F.exists(F.split(text, "(?<=[.!?])\\s+"), lambda s: ~s.rlike(_CUE) & enough(s))
+    aside = (lead.contains("(") | lead.rlike(_CONTRAST)) & enough(strip(lead)) & ~strip(lead).rlike(r"(?i)\b(?:is|was|are|were|does|do)\s*$")
+    asserted = lead.rlike(_CONTRAST) & enough(strip(F.regexp_extract(lead, f"(?s)^(.*?){_CONTRAST}", 1)))
+    return F.when(~text.rlike(_CUE), "answer").when(own | aside | asserted, "hybrid").otherwise("refusal")
 
 
 def contains_phrase(text_tokens: Column, phrase_tokens: Column) -> Column:

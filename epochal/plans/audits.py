@@ -19,13 +19,6 @@ def strict_merge(spark, sf_dir):
 
 def matrix_gaps(spark, sf_dir):
     """Order lines by statuses: which (line, status) cells of an order are absent."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
-    r, c = l.select("l_orderkey", "l_linenumber").distinct(), l.select("l_orderkey", "l_linestatus").distinct()
-    return A.matrix_gaps(r, c, l.select("l_orderkey", "l_linenumber", "l_linestatus").distinct(), "l_orderkey", "l_linenumber", "l_linestatus")
-
-
-def matrix_gaps_whole(spark, sf_dir):
-    """The same for every order; matrix_gaps has the orders of its SQL. Tested against brute force."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus").distinct()
     r, c = l.select("l_orderkey", "l_linenumber").distinct(), l.select("l_orderkey", "l_linestatus").distinct()
     return A.matrix_gaps(r, c, l, "l_orderkey", "l_linenumber", "l_linestatus")
@@ -62,8 +55,9 @@ def longest_and_hashed(spark, sf_dir):
 
 
 def answered_by_all(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
-    return A.answered_by_all(l, "l_orderkey", "l_linenumber", "l_partkey", 3)
+    """Return flags as systems, the largest part as the answer: orders with all three flags and a part each."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_partkey").alias("l_partkey"))
+    return A.answered_by_all(l, "l_orderkey", "l_returnflag", "l_partkey", 3)
 
 
 def chunked_lines(spark, sf_dir):
@@ -121,7 +115,7 @@ def temperature(spark, sf_dir):
     return A.temperature(d.withColumn("z", (F.col("doc_id") % 7) - 3.0 + 2 * F.col("quality")), ["lang"], "z", "quality")
 
 
-_NAMES = """strict_merge matrix_gaps matrix_gaps_whole exclude_known version_delta field_changes fingerprints longest_and_hashed answered_by_all chunked_lines relation_vectors
+_NAMES = """strict_merge matrix_gaps exclude_known version_delta field_changes fingerprints longest_and_hashed answered_by_all chunked_lines relation_vectors
 verify_predictions power_floor question_uniqueness cross_partition cross_partition_near balanced_assignment temperature""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -129,7 +123,7 @@ _SPLIT = "CASE WHEN b < 600 THEN 'train' WHEN b < 750 THEN 'dev' WHEN b < 950 TH
 SQL = {
     "strict_merge": """WITH a AS (SELECT doc_id, quality::DOUBLE AS q FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, toxic::DOUBLE AS q, 1.0::DOUBLE AS t FROM labels WHERE doc_id % 2 = 0)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.q, a.q) AS q, b.t AS t, CASE WHEN b.doc_id IS NULL THEN 'left_only' WHEN a.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
-    "matrix_gaps": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE l_orderkey % 7 = 0), w AS (SELECT DISTINCT a.l_orderkey, a.l_linenumber, b.l_linestatus FROM l a JOIN l b USING (l_orderkey))
+    "matrix_gaps": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linestatus FROM lineitem), w AS (SELECT DISTINCT a.l_orderkey, a.l_linenumber, b.l_linestatus FROM l a JOIN l b USING (l_orderkey))
 SELECT *, 'missing' AS fault FROM (SELECT * FROM w EXCEPT SELECT * FROM l)""",
     "exclude_known": """WITH c AS (SELECT *, c_mktsegment || CAST(c_custkey % 50 AS VARCHAR) AS tag FROM customer), r AS (SELECT * FROM c WHERE c_nationkey = 0), x AS (SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM r)),
 y AS (SELECT * FROM x WHERE c_nationkey NOT IN (SELECT c_nationkey FROM r)), z AS (SELECT * FROM y WHERE tag NOT IN (SELECT tag FROM r))
@@ -140,7 +134,7 @@ SELECT CASE WHEN o IS NULL AND n IS NULL THEN 'missing' WHEN o IS NULL THEN 'cov
     "fingerprints": "SELECT sha256(lower(p_brand) || chr(31) || lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) || chr(31) || CAST(p_size AS VARCHAR)) AS card, count(*) AS n FROM part GROUP BY 1",
     "longest_and_hashed": """WITH t AS (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20), h AS (SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t) ORDER BY sha256('cal:' || CAST(doc_id AS VARCHAR)) LIMIT 30)
 SELECT *, 'long' AS why FROM t UNION ALL SELECT *, 'hash' FROM h""",
-    "answered_by_all": "SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) = 3 AND count(DISTINCT l_partkey) = 3 AND count(*) = 3",
+    "answered_by_all": "SELECT l_orderkey FROM (SELECT l_orderkey, max(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY l_orderkey HAVING count(*) = 3 AND count(DISTINCT p) = 3",
     "chunked_lines": """WITH RECURSIVE n AS (SELECT l_orderkey, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_quantity AS INT)) AS i FROM lineitem),
 r AS (SELECT l_orderkey, i, q AS used, 1 AS chunk FROM n WHERE i = 1 UNION ALL SELECT n.l_orderkey, n.i, CASE WHEN r.used > 0 AND r.used + n.q > 60 THEN n.q ELSE r.used + n.q END, r.chunk + (r.used > 0 AND r.used + n.q > 60)::INT FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.i = r.i + 1)
 SELECT l_orderkey, max(chunk) AS chunks FROM r GROUP BY l_orderkey""",

@@ -47,7 +47,7 @@ def claim_metrics(spark, sf_dir):
 
 def citations(spark, sf_dir):
     """Handles merged from texts that cite by line number."""
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
     text = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" [E"), F.array_join("n", ", E"), F.lit("] shipped [E1]."))
     l = l.select("l_orderkey", text.alias("t"))
     return l.select("l_orderkey", Q.merge_handles(F.col("t"), Q.inline_handles(F.col("t"))).alias("merged"))
@@ -74,7 +74,7 @@ CASE WHEN operator = 'first' THEN NULL ELSE q_start END AS day, CASE WHEN operat
 SELECT doc_id, round(precision, 6) AS precision, recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1, round(CASE WHEN rr <= 3 THEN 1.0::DOUBLE / 3 ELSE 0.0 END, 6) AS context_precision,
 round((1 + (r2 IS NOT NULL)::INT) / 2.0::DOUBLE, 6) AS faithfulness, round((NOT s2 AND r2 IS NULL)::INT / 2.0::DOUBLE, 6) AS hallucination,
 round(((NOT s1 AND rr <= 3 AND r1 = rr)::INT + coalesce((NOT s2 AND rr <= 3 AND r2 = rr)::INT, 0)) / 2.0::DOUBLE, 6) AS relevant_noise, round((1 + coalesce((c2 <> c1)::INT, 0)) / 2.0::DOUBLE, 6) AS citation_precision FROM p""",
-    "citations": """WITH n AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey)
+    "citations": """WITH n AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS n FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, 'Order ' || l_orderkey || ' shipped. [' || array_to_string(list_transform(CASE WHEN list_contains(n, 1) THEN n ELSE list_append(n, 1) END, lambda x: 'E' || x), ', ') || ']' AS merged FROM n""",
     "update_adaptation": """WITH d AS (SELECT doc_id, (doc_id * 17 % 101) / 100.0::DOUBLE AS b, (doc_id * 29 % 101) / 100.0::DOUBLE AS a, quality = 1 AS c FROM labels), s AS (SELECT *, CASE WHEN c THEN least(a, b) ELSE least(a, b, 1.0::DOUBLE - abs(a - b)) END AS s, c OR abs(a - b) <= 0.05 AS ok FROM d)
 SELECT doc_id, round(s, 6) AS score, s >= 0.5 AND ok AS pass_50, s >= 0.75 AND ok AS pass_75, round(CASE WHEN a <= 0 OR b <= 0 THEN 0.0::DOUBLE ELSE sqrt(a * b) END, 6) AS geometric FROM s""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from epochal.plans import audits, evaluation, language, retrieval, temporal
+from epochal.plans import audits, evaluation, evidence, language, retrieval, temporal
 
-_PARTS = (temporal, retrieval, evaluation, language, audits)
+_PARTS = (temporal, retrieval, evaluation, language, audits, evidence)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

@@ -59,13 +59,7 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the first five words of the reference are mentioned in the candidate."""
-    ref = F.slice(T.tokens(F.col("reference")), 1, 5)
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.mention_score(T.tokens(F.col("candidate")), ref), 6).alias("score"))
-
-
-def mention_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far all words of the reference are mentioned in the candidate; mention_scores has the five words of its SQL."""
+    """How far the words of the reference are mentioned in the candidate."""
     score = T.mention_score(T.tokens(F.col("candidate")), T.tokens(F.col("reference")))
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(score, 6).alias("score"))
 
@@ -181,7 +175,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "answer_scores": answer_scores, "rouge_l": rouge_l, "text_normal_forms": text_normal_forms, "shingle_counts": shingle_counts, "token_jaccard": token_jaccard,
-    "mention_scores": mention_scores, "mention_scores_whole": mention_scores_whole, "stable_ids": stable_ids, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion,
+    "mention_scores": mention_scores, "stable_ids": stable_ids, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion,
     "retrieval_metrics": retrieval_metrics, "min_max_scaled": min_max_scaled, "semantic_dedup": semantic_dedup, "temporal_rerank": temporal_rerank,
     "relative_scores": relative_scores, "status_rates": status_rates, "graph_two_hop": graph_two_hop, "graph_degree": graph_degree, "components": components,
 }
@@ -207,12 +201,12 @@ o AS (SELECT conv_id, turn, coalesce(sum(m) FILTER (WHERE k = 1), 0)::DOUBLE AS
 SELECT conv_id, turn, CASE WHEN c = r THEN 1.0::DOUBLE ELSE 0.0 END AS exact, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 THEN 0.0 ELSE coalesce(o1, 0) / len(a) END, 6) AS precision,
 round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(b) = 0 THEN 0.0 ELSE coalesce(o1, 0) / len(b) END, 6) AS recall, round(({_F1('coalesce(o1, 0)', 'a', 'b')})::DOUBLE, 6) AS f1, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE WHEN len(g) = 0 OR len(h) = 0 THEN 0.0 ELSE ({_F1('coalesce(o2, 0)', 'g', 'h')})::DOUBLE END, 6) AS rouge2 FROM y LEFT JOIN o USING (conv_id, turn)""",
     "text_normal_forms": f"""SELECT conv_id, turn, {_norm_sql('text')} AS answer, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS visible, CAST(len({_TOK('text')}) AS INT) AS n_tokens,
-regexp_matches(lower(text), '{'|'.join(f'({p})' for p in T.REFUSALS).replace("'", "''")}') AS refusal FROM conversations""",
+regexp_matches(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?i){'|'.join(T.REFUSALS).replace("'", "''")}') AS refusal FROM conversations""",
     "shingle_counts": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)
 SELECT doc_id, CAST(CASE WHEN len(t) = 0 THEN 1 WHEN len(t) < 3 THEN len(list_distinct(t)) ELSE len(list_distinct(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], chr(31))))) END AS INT) AS n FROM t""",
     "token_jaccard": f"""WITH {_PAIRS_SQL}, t AS (SELECT conv_id, turn, list_distinct({_TOK('candidate')}) AS a, list_distinct({_TOK('reference')}) AS b FROM pairs)
 SELECT conv_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS jaccard FROM t""",
-    "mention_scores": f"""WITH {_PAIRS_SQL}, t AS (SELECT conv_id, turn, {_TOK('candidate')} AS a, {_TOK('reference')}[1:5] AS b FROM pairs),
+    "mention_scores": f"""WITH {_PAIRS_SQL}, t AS (SELECT conv_id, turn, {_TOK('candidate')} AS a, {_TOK('reference')} AS b FROM pairs),
 c AS (SELECT *, list_distinct(list_filter(b, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in T.COMMON)}))) AS k FROM t)
 SELECT conv_id, turn, round(CASE WHEN len(b) > 0 AND contains(' ' || array_to_string(a, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ') THEN 1.0::DOUBLE WHEN len(k) = 0 THEN 0.0 ELSE len(list_intersect(k, a))::DOUBLE / len(k) END, 6) AS score FROM c""",
     "stable_ids": """SELECT doc_id, 'u_' || sha256(CAST(doc_id AS VARCHAR) || chr(31) || lang)[1:24] AS unit, CAST(('0x' || sha256('split:' || CAST(doc_id AS VARCHAR))[1:16])::UBIGINT % 1000 AS BIGINT) AS bucket,
