@@ -35,17 +35,18 @@ def solve(facts: DataFrame, programs: DataFrame) -> DataFrame:
     w = Window.partitionBy("qid")
     now = contains(start, end, q)
     bounded = now & end.isNotNull()
-    answers = lambda flag: F.size(F.collect_set(F.when(flag, F.col("answer_id"))).over(w))
-    m = m.select(
-        "*", answers(now).alias("n_now"), F.min(F.when(now, start)).over(w).alias("now_start"),
-        answers(bounded).alias("n_bounded"), F.max(F.when(bounded, end)).over(w).alias("now_end"),
+    least = lambda flag: F.min(F.when(flag, F.col("answer_id"))).over(w)
+    most = lambda flag: F.max(F.when(flag, F.col("answer_id"))).over(w)
+    m = m.select(  # whether there is no answer, one, or more: by the least and the most of them
+        "*", (least(now) == most(now)).alias("one_now"), F.min(F.when(now, start)).over(w).alias("now_start"),
+        (least(bounded) == most(bounded)).alias("one_bounded"), F.max(F.when(bounded, end)).over(w).alias("now_end"),
     )
-    after_now = F.when(F.col("n_bounded") == 0, start > q).otherwise((F.col("n_bounded") == 1) & (start > F.col("now_end")))
+    after_now = F.when(F.col("one_bounded").isNull(), start > q).otherwise(F.col("one_bounded") & (start > F.col("now_end")))
     candidate = (
         F.when(op.isin(*POINT), now)
         .when(op == "during", covers(start, end, q, F.col("q_end")))
         .when(op == "between", overlaps(start, end, q, F.col("q_end")))
-        .when(op == "previous", (F.col("n_now") == 1) & (end < F.col("now_start")))
+        .when(op == "previous", F.col("one_now") & (end < F.col("now_start")))
         .when(op == "next", after_now)
         .when(op.isin("latest", "last"), start <= q)
         .when(op == "first", start.isNotNull())

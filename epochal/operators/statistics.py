@@ -14,10 +14,13 @@ from pyspark.sql.window import Window
 
 
 def mid_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Average rank of ties (O067)."""
-    w = Window.partitionBy(*by)
-    same = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (same - 1) / F.lit(2.0))
+    """Average rank of ties (O067): a window over the counts of distinct values, joined back to the rows."""
+    keys = [*by, value]
+    up_to = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    ranks = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), (F.coalesce(F.sum("__n").over(up_to), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
+    same = [df[k].eqNullSafe(ranks[f"__k{i}"]) for i, k in enumerate(keys)]
+    return df.join(ranks, same).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -199,8 +202,8 @@ def percentile_interval(value: str) -> Column:
 
 
 def nearest_rank(value: str, q: float) -> Column:
-    """ordered[ceil(q n) - 1] (O064)."""
-    return F.element_at(F.array_sort(F.collect_list(value)), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.count(value)).cast("int")))
+    """ordered[ceil(q n) - 1] (O064), from counts of distinct values, which combine before the shuffle."""
+    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
 def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, samples: int = 2000, seed: int = 20260813) -> DataFrame:

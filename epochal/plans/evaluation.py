@@ -116,7 +116,7 @@ def mcnemar_p(spark, sf_dir):
 
 def percentiles(spark, sf_dir):
     iv = X.percentile_interval("n_chars")
-    return _scored(spark, sf_dir).groupBy("lang").agg(F.round(iv[0], 6).alias("low"), F.round(iv[1], 6).alias("high"), X.nearest_rank("n_chars", 0.95).alias("p95"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return _scored(spark, sf_dir).groupBy("lang").agg(F.round(iv[0], 6).alias("low"), F.round(iv[1], 6).alias("high"), X.nearest_rank("n_chars", 0.95).cast("long").alias("p95"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
 def cluster_bootstrap(spark, sf_dir):

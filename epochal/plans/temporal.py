@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epochal.functions import intervals as I
 from epochal.operators import solver as S
@@ -69,7 +70,8 @@ def unique_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths: the first three facts of each context by fact_id."""
     edge = F.struct("fact_id", "start", "end", "time_type")
-    p = facts_orders(spark, sf_dir).groupBy("context_id").agg(F.slice(F.array_sort(F.collect_list(edge)), 1, 3).alias("e"))
+    first = F.row_number().over(Window.partitionBy("context_id").orderBy("fact_id"))  # three rows a context leave a task
+    p = facts_orders(spark, sf_dir).withColumn("i", first).where("i <= 3").groupBy("context_id").agg(F.array_sort(F.collect_list(edge)).alias("e"))
     q = (F.lit("1998-06-15").cast("date"), F.lit("1998-09-15").cast("date"))
     return p.select("context_id", S.path_status(F.col("e"), *q).alias("shared"), S.path_status(F.col("e"), *q, sequence=True).alias("sequence"))
 
@@ -86,8 +88,9 @@ def alternate_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence by status for each as_of program, two of each at most, smallest ids first (O162)."""
     f, p = facts_orders(spark, sf_dir), programs(spark, sf_dir, ("as_of",))
-    packs = S.time_status(f, p).groupBy("qid", "status").agg(F.array_join(F.slice(F.array_sort(F.collect_list("fact_id")), 1, 2), ",").alias("evidence"), F.count("*").alias("n"))
-    return packs
+    place = F.row_number().over(Window.partitionBy("qid", "status").orderBy("fact_id"))
+    two = F.collect_list(F.when(F.col("place") <= 2, F.col("fact_id")))
+    return S.time_status(f, p).withColumn("place", place).groupBy("qid", "status").agg(F.array_join(F.array_sort(two), ",").alias("evidence"), F.count("*").alias("n"))
 
 
 def as_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
