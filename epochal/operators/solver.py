@@ -17,22 +17,37 @@ def matching(facts: DataFrame, programs: DataFrame) -> DataFrame:
     Programs with a context join on (relation, context); a null context or object is a wildcard, and such programs join on
     the relation only.
     """
+    (bound, _), (free, _) = _matched(facts, programs)
+    return bound.unionByName(free)
+
+
+def _matched(facts: DataFrame, programs: DataFrame) -> list[tuple[DataFrame, tuple[str, ...]]]:
+    """As matching, for programs with a context and for those without: rows, and columns that tell programs apart.
+
+    The first are partitioned by the join as windows over these columns need it; a union would lose that.
+    """
     f = facts.withColumnRenamed("snapshot_rank", "fact_rank").withColumnRenamed("relation", "f_relation").withColumnRenamed("context_id", "f_context")
     same = F.col("relation") == F.col("f_relation")
     bound = programs.where("context_id IS NOT NULL").join(f, same & (F.col("context_id") == F.col("f_context")))
-    free = programs.where("context_id IS NULL").join(f, same)
+    free = programs.where("context_id IS NULL").join(f, same).withColumn("context_id", F.col("f_context"))
     seen = (F.col("fact_rank") <= F.col("snapshot_rank")) & (F.col("object_id").isNull() | (F.col("object_id") == F.col("answer_id")))
-    return bound.unionByName(free).where(seen).drop("f_relation", "fact_rank").withColumn("context_id", F.col("f_context")).drop("f_context")
+    return [(x.where(seen).drop("f_relation", "fact_rank", "f_context"), by) for x, by in ((bound, ("relation", "context_id", "qid")), (free, ("qid",)))]
 
 
 def solve(facts: DataFrame, programs: DataFrame) -> DataFrame:
     """Rows (qid, operator, context_id, fact_id, answer_id, start, end) that answer each program (O143).
 
-    Two windows over the same partitioning: one shuffle. Ties of the latest or earliest bound are kept.
+    Two windows over the partitioning of the join: no shuffle but the join's, unless programs name no context. Ties of the latest or
+    earliest bound are kept.
     """
-    m = matching(facts, programs)
+    bound, free = (_chosen(m, by).where("__chosen").select("qid", "operator", "context_id", "fact_id", "answer_id", "start", "end") for m, by in _matched(facts, programs))
+    return bound.unionByName(free)
+
+
+def _chosen(m: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds ``__chosen``: whether the fact answers its program."""
     q, start, end, op = F.col("q_start"), F.col("start"), F.col("end"), F.col("operator")
-    w = Window.partitionBy("qid")
+    w = Window.partitionBy(*by)
     now = contains(start, end, q)
     bounded = now & end.isNotNull()
     least = lambda flag: F.min(F.when(flag, F.col("answer_id"))).over(w)
@@ -54,14 +69,15 @@ def solve(facts: DataFrame, programs: DataFrame) -> DataFrame:
         .when(op == "after", start > q)
         .otherwise(False)
     )
-    m = m.where(F.coalesce(candidate, F.lit(False)))
+    m = m.withColumn("__c", F.coalesce(candidate, F.lit(False)))
+    of = lambda x: F.when(F.col("__c"), x)
     keep = (
-        F.when(op.isin("previous", "before", "expired"), end == F.max(end).over(w))
-        .when(op.isin("latest", "last"), start == F.max(start).over(w))
-        .when(op.isin("next", "after", "first"), start == F.min(start).over(w))
+        F.when(op.isin("previous", "before", "expired"), end == F.max(of(end)).over(w))
+        .when(op.isin("latest", "last"), start == F.max(of(start)).over(w))
+        .when(op.isin("next", "after", "first"), start == F.min(of(start)).over(w))
         .otherwise(True)
     )
-    return m.withColumn("__keep", keep).where("__keep").select("qid", "operator", "context_id", "fact_id", "answer_id", "start", "end")
+    return m.withColumn("__chosen", F.col("__c") & keep).drop("__c", "one_now", "now_start", "one_bounded", "now_end")
 
 
 def answers(solved: DataFrame) -> DataFrame:
@@ -74,18 +90,28 @@ def answers(solved: DataFrame) -> DataFrame:
 def time_status(facts: DataFrame, programs: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """Status of every visible fact of a program, relative to its operator (O154). selected: (qid, fact_id) answers."""
     m = matching(facts, programs)
-    if selected is not None:
-        m = m.join(selected.select("qid", "fact_id").distinct().withColumn("__chosen", F.lit(True)), ["qid", "fact_id"], "left")
-    chosen = F.coalesce(F.col("__chosen"), F.lit(False)) if selected is not None else F.lit(False)
+    if selected is None:
+        return _status(m, F.lit(False), "valid")
+    m = m.join(selected.select("qid", "fact_id").distinct().withColumn("__chosen", F.lit(True)), ["qid", "fact_id"], "left")
+    return _status(m, F.coalesce(F.col("__chosen"), F.lit(False)), "temporally_ambiguous")
+
+
+def solved_status(facts: DataFrame, programs: DataFrame) -> DataFrame:
+    """time_status with the answers of ``solve``, which windows over the one join mark; nothing is joined again."""
+    of_fact = lambda by: F.max("__chosen").over(Window.partitionBy(*by, "fact_id"))
+    bound, free = (_status(_chosen(m, by).withColumn("__chosen", of_fact(by)), F.col("__chosen"), "temporally_ambiguous").drop("__chosen") for m, by in _matched(facts, programs))
+    return bound.unionByName(free)
+
+
+def _status(m: DataFrame, chosen: Column, over: str) -> DataFrame:
     op, q, start, end = F.col("operator"), F.col("q_start"), F.col("start"), F.col("end")
     q_end = F.coalesce("q_end", "q_start")
-    over = F.lit("temporally_ambiguous") if selected is not None else F.lit("valid")
     late = F.when(start > q, "future_invalid").otherwise("stale")
     return m.withColumn(
         "status",
         F.when(F.col("time_type") == "unknown", "unknown_valid_time")
         .when(chosen, "valid")
-        .when(op.isin("during", "between") & overlaps(start, end, q, F.col("q_end")), over)
+        .when(op.isin("during", "between") & overlaps(start, end, q, F.col("q_end")), F.lit(over))
         .when(op.isin(*POINT) & contains(start, end, q), "valid")
         .when(op.isin("first", "next", "after", "latest", "last"), late)
         .when(op.isin("previous", "before", "expired"), F.when(end < q, "stale").otherwise("future_invalid"))
