@@ -47,7 +47,7 @@ def solver_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, p = facts_orders(spark, sf_dir), programs(spark, sf_dir)
-    return S.time_status(f, p, S.solve(f, p)).groupBy("operator", "status").agg(F.count("*").alias("n"))
+    return S.solved_status(f, p).groupBy("operator", "status").agg(F.count("*").alias("n"))
 
 
 def current_events(spark: SparkSession, sf_dir: str) -> DataFrame:
