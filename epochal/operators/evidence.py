@@ -12,21 +12,28 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from epochal.functions.intervals import after_score, before_score, near_miss
-from epochal.operators.retrieval import relative_ordinal, relative_recency
 
 UNKNOWN, DEFAULT = 0.15, 0.5
 
 
-def compatibility(rows: DataFrame) -> DataFrame:
+def compatibility(rows: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Add ``compatibility`` to rows (qid, fact_id, operator, start, end, q_start, q_end); the peers of a fact are its question's rows.
 
+    by: columns that tell questions apart; with what the rows are partitioned by among them, nothing is shuffled. All places come from
+    running counts over one order, the latest fact first: one sort.
+
     A null q_start is a question without a date: only relative operators then tell facts apart. A null start is an unknown interval.
     """
     op, known, day = F.col("operator"), F.col("start").isNotNull(), F.col("q_start")
     dated = day.isNotNull()
-    place = [F.col("start"), F.col("fact_id")]
-    latest = relative_recency(place, ["qid"], True, known & (~dated | (F.col("start") <= day)))
-    first = relative_recency(place, ["qid"], False, known)
+    of = Window.partitionBy(*by)
+    latest_first = of.orderBy(F.col("start").desc(), F.col("fact_id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    eligible = known & F.coalesce(~dated | (F.col("start") <= day), F.lit(False))
+    count = lambda flag, w: F.sum(flag.cast("int")).over(w)
+    late, every = count(known, latest_first), count(known, of)
+    recency = lambda flag, place: F.when(flag, F.greatest(F.lit(0.2), 1.0 - 0.25 * (place - 1))).otherwise(F.lit(0.0))  # noqa: E731  as relative_recency
+    ordinal = lambda n: F.when(every < n, F.lit(0.4)).when(known & (late == n), F.lit(1.0)).otherwise(F.lit(0.25))  # noqa: E731  as relative_ordinal
+    latest, first = recency(eligible, count(eligible, latest_first)), recency(known, every - late + 1)
     overlap = (F.col("start") <= F.col("q_end")) & (F.coalesce("end", F.lit("9999-12-31").cast("date")) >= day)
     contains = (F.col("start") <= day) & (F.coalesce("end", F.lit("9999-12-31").cast("date")) >= day)
     score = (
@@ -37,16 +44,16 @@ def compatibility(rows: DataFrame) -> DataFrame:
         .when(op.isin("next", "after") & dated, after_score(F.col("start"), day))
         .when(op.isin("latest", "last") | ((op == "current") & ~dated), latest)
         .when(op == "first", first)
-        .when(op == "previous", relative_ordinal(place, ["qid"], 2, known))
-        .when(op == "next", relative_ordinal(place, ["qid"], 1, known))
+        .when(op == "previous", ordinal(2))
+        .when(op == "next", ordinal(1))
         .otherwise(F.lit(DEFAULT))
     )
     return rows.withColumn("compatibility", score)
 
 
-def winners(rows: DataFrame) -> DataFrame:
+def winners(rows: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Add ``selected``: whether the row is one of its question's ordinal winners (ties all win); null for other operators (O159)."""
-    op, of = F.col("operator"), Window.partitionBy("qid")
+    op, of = F.col("operator"), Window.partitionBy(*by)
     early = F.when(F.col("start") <= F.col("q_end"), F.col("start"))
     ended = F.when(F.col("end") < F.col("q_start"), F.col("end"))
     late = F.when(F.col("start") > F.col("q_end"), F.col("start"))
@@ -60,9 +67,9 @@ def winners(rows: DataFrame) -> DataFrame:
     return rows.withColumn("selected", F.when(ordinal, F.coalesce(wins, F.lit(False))))
 
 
-def assessed(rows: DataFrame) -> DataFrame:
+def assessed(rows: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Add exact, near, compatibility and status of every fact as evidence for its question (O158)."""
-    w = winners(rows)
+    w = winners(rows, by)
     op, s, e, a, b = (F.col(c) for c in ("operator", "start", "end", "q_start", "q_end"))
     last = F.coalesce(e, F.lit("9999-12-31").cast("date"))
     meets = (s <= b) & (last >= a)

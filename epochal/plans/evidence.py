@@ -41,7 +41,7 @@ _ASKED_SQL = f"""{FACTS_ORDERS_SQL}, {PROGRAMS_SQL}, k AS (SELECT qid, operator,
 
 
 def compatibility_scores(spark, sf_dir):
-    return E.compatibility(_asked(spark, sf_dir)).select("qid", "fact_id", F.round("compatibility", 6).alias("compatibility"))
+    return E.compatibility(_asked(spark, sf_dir), ("context_id", "qid")).select("qid", "fact_id", F.round("compatibility", 6).alias("compatibility"))
 
 
 def evidence_assessment(spark, sf_dir):
