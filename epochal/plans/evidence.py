@@ -46,7 +46,7 @@ def compatibility_scores(spark, sf_dir):
 
 def evidence_assessment(spark, sf_dir):
     p = _asked(spark, sf_dir).where("q_start IS NOT NULL")
-    return E.assessed(p).select("qid", "fact_id", "exact", F.round("near", 6).alias("near"), F.round("compatibility", 6).alias("compatibility"), "status")
+    return E.assessed(p, ("context_id", "qid")).select("qid", "fact_id", "exact", F.round("near", 6).alias("near"), F.round("compatibility", 6).alias("compatibility"), "status")
 
 
 def response_kinds(spark, sf_dir):
