@@ -7,11 +7,12 @@ RESTAURANTS numbers whatever the corpus; dishes (class, word) grow with it. The
 seen: every known word has one table there and the new-table mass is the probability of an unknown word, so that known words and
 "unknown" sum to one in every context.
 
-Seating is sampled by Gibbs. In a round one random customer of each dish of each restaurant leaves its table, with that table's
-customer of the parent if it closes, and is seated again by the Chinese-restaurant rule: at a table in proportion to its size less
-the discount, at a new one in proportion to (strength + discount * tables) * the parent's probability, all counted without the
-one that left. The rule is the same for dishes of any size. Sizes of tables are kept. Customers of a language follow the net
-change of the tables below. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
+Seating is sampled by Gibbs. A round is a full sweep: every customer of every dish of each restaurant, of contexts and then of
+languages, leaves its table once, with that table's customer of the parent if it closes, and is seated again by the
+Chinese-restaurant rule: at a table in proportion to its size less the discount, at a new one in proportion to (strength +
+discount * tables) * the parent's probability, all counted without the one that left. The rule is the same for dishes of any
+size. The largest dishes of a slice go one by one; of the others one customer of each dish moves at a time, until all have.
+The table of each customer is kept. Customers of a language follow the net change of the tables below. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
 BETWEEN rounds apart, and a token's probability is the average of the kept seatings' predictive ones. Discounts come from counts of
 counts at each level, strengths from totals by the expectations of the usual auxiliary variables.
 
@@ -28,8 +29,11 @@ rows are scored each. An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ BURN_IN, SAMPLES, BETWEEN = 8, 3, 4
 #: Context restaurants of all languages, and the most languages that are told apart.
 RESTAURANTS, LANGUAGES = 1 << 16, 1 << 12
 FLUSH, SLICES, SLICE_BYTES = 3_000_000, 24, 24_000_000
+#: So many of the largest dishes of a slice and level are reseated one by one; of the others, a customer of each at a time.
+ALONE = 512
 HELD_OUT = 10
 END, START = mix64(np.array([0xE0D, 0xB0E], U))
 
@@ -144,103 +150,203 @@ def _train(n_slices: int, langs: Languages):
     return run
 
 
+def views(**arrays: np.ndarray) -> SimpleNamespace:
+    """The same memory for reads and writes of single numbers, which are several times faster than an array's."""
+    return SimpleNamespace(**{k: memoryview(x) for k, x in arrays.items()})
+
+
 class Seats:
-    """Customers at the tables of many dishes: c customers and t tables of each dish, and the sizes of the tables.
+    """Customers at the tables of many dishes: c customers and t tables of each dish, and at which table each customer is.
 
-    Dishes of more than one table are in ``several`` (in order), with the sizes of their tables in a row; one table has all customers.
+    A dish has ``room`` numbers from ``o`` on: for its customers' tables (``table``, in no order that tells of tables once shuffled)
+    and for customers at a table (``at_table``; 0: no such table).
     """
 
-    def __init__(self, c: np.ndarray, t: np.ndarray, size: np.ndarray):
-        self.c, self.t, self.size = c.astype(np.int64), t.astype(np.int64), size.astype(np.int64)
-        self.several = np.flatnonzero(self.t > 1)
+    def __init__(self, c: np.ndarray, t: np.ndarray, size: np.ndarray, most: np.ndarray | None = None):
+        """size: those of the tables of dishes of several tables, in a row; most: customers of each dish at any time, if more than c."""
+        self.c, self.t = c.astype(np.int64), t.astype(np.int64)
+        most = self.c if most is None else most
+        self.room = most + most // 2 + 1  # a third is free, so that a random number soon is
+        self.o = np.cumsum(self.room) - self.room
+        self.table, self.at_table = np.zeros((2, int(self.room.sum())), np.int32)
+        at, many = ragged(self.o, self.t), np.repeat(self.t > 1, self.t)
+        every = np.repeat(self.c, self.t)
+        every[many] = size
+        self.at_table[at] = every
+        self.table[ragged(self.o, self.c)] = np.repeat(at - np.repeat(self.o, self.t), every)
+        self.view = views(c=self.c, t=self.t, room=self.room, o=self.o, table=self.table, at_table=self.at_table)
 
     @classmethod
-    def start(cls, c: np.ndarray, a: np.ndarray, d: float) -> Seats:
+    def start(cls, c: np.ndarray, a: np.ndarray, d: float, most: np.ndarray | None = None) -> Seats:
         """About as many tables as c customers open; a as in ``sit``. All but the first table have one customer."""
         t = np.clip(np.round(1 + a * np.log((a + c - d) / (a + 1 - d))), 1, c).astype(np.int64)
         some = t[t > 1]
         size = np.ones(int(some.sum()), np.int64)
         size[np.cumsum(some) - some] += (c - t)[t > 1]
-        return cls(c, t, size)
+        return cls(c, t, size, most)
+
+    @property
+    def several(self) -> np.ndarray:
+        """Dishes of more than one table."""
+        return np.flatnonzero(self.t > 1)
 
-    def _random_tables(self, place: np.ndarray, rng: np.random.Generator, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The table of a random customer of each of the dishes several[place]."""
-        r = first[place] + (rng.random(len(place)) * self.c[self.several[place]]).astype(np.int64)
-        return np.searchsorted(ends, r, side="right")
+    @property
+    def size(self) -> np.ndarray:
+        """Sizes of the tables of ``several``, in a row."""
+        x = self.at_table[ragged(self.o[self.several], self.room[self.several])]
+        return x[x > 0].astype(np.int64)
 
-    def _before(self) -> np.ndarray:
+    def shuffle(self, rng: np.random.Generator) -> None:
+        """Customers of a dish in random order: tables do not tell who is next."""
         c = self.c[self.several]
-        return np.cumsum(c) - c
-
-    def leave(self, at: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """One random customer leaves each of the dishes ``at`` (distinct, in order, with a customer or more). True: its table closes."""
-        closed = self.c[at] == 1
-        i = np.flatnonzero(self.t[at] > 1)
-        if len(i):
-            k = self._random_tables(np.searchsorted(self.several, at[i]), rng, np.cumsum(self.size), self._before())
-            self.size[k] -= 1
-            closed[i] = self.size[k] == 0
-        self.c[at] -= 1
-        if closed.any():
-            tables = self.t[self.several]
-            self.t[at[closed]] -= 1
-            stay = self.t[self.several] > 1
-            self.size = self.size[(self.size > 0) & np.repeat(stay, tables)]
-            self.several = self.several[stay]
+        at = ragged(self.o[self.several], c)
+        self.table[at] = self.table[at[np.argsort(np.repeat(np.arange(len(c)), c) + rng.random(len(at)))]]
+
+    def leave(self, at: np.ndarray, rng: np.random.Generator, who: np.ndarray | None = None) -> np.ndarray:
+        """One customer (a random one) leaves each of the dishes ``at`` (distinct, with a customer or more). True: its table closes.
+
+        The last customer takes its number, and ``sit`` gives the last number.
+        """
+        o, c = self.o[at], self.c[at]
+        p = o + ((rng.random(len(at)) * c).astype(np.int64) if who is None else who)
+        k = o + self.table[p]
+        self.table[p] = self.table[o + c - 1]
+        left = self.at_table[k] - 1
+        self.at_table[k] = left
+        closed = left == 0
+        self.c[at] = c - 1
+        self.t[at] -= closed
         return closed
 
     def sit(self, at: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
         """One customer comes to each of the dishes; a: (strength + d * tables) * the parent's probability. True: a table opens."""
-        opened = rng.random(len(at)) * (a + self.c[at] - d * self.t[at]) < a
-        opened |= self.t[at] == 0
-        old = at[~opened & (self.t[at] > 1)]
-        if len(old):  # in proportion to size less d: of a random customer, kept with (size - d) / size
-            place = np.searchsorted(self.several, old)
-            ends, first = np.cumsum(self.size), self._before()
-            table, more = np.zeros(len(old), np.int64), np.arange(len(old))
-            while len(more):
-                k = self._random_tables(place[more], rng, ends, first)
-                table[more] = k
-                more = more[rng.random(len(k)) * self.size[k] >= self.size[k] - d]
-            self.size[table] += 1
-        x = at[opened]
-        many, second = x[self.t[x] > 1], x[self.t[x] == 1]
-        if len(many):
-            ends = np.cumsum(self.t[self.several])
-            self.size = np.insert(self.size, ends[np.searchsorted(self.several, many)], 1)
-            self.t[many] += 1
-        if len(second):
-            place = np.searchsorted(self.several, second)
-            begin = np.concatenate([[0], np.cumsum(self.t[self.several])])
-            sizes = np.ones(2 * len(second), np.int64)
-            sizes[::2] = self.c[second]
-            self.size = np.insert(self.size, np.repeat(begin[place], 2), sizes)
-            self.several = np.insert(self.several, place, second)
-            self.t[second] += 1
-        self.t[x[self.t[x] == 0]] = 1
-        self.c[at] += 1
+        o, c, t = self.o[at], self.c[at], self.t[at]
+        old = c - d * t
+        r = rng.random(len(at)) * (a + old) - a
+        opened = (r < 0) | (t == 0)
+        table = np.zeros(len(at), np.int64)
+        more = np.flatnonzero(~opened)
+        first, many = o[more], c[more]
+        r = r[more] * (many / old[more])
+        while len(more):  # in proportion to size less d: of a random customer, kept with (size - d) / size
+            who = np.minimum(r.astype(np.int64), many - 1)
+            table[more] = k = self.table[first + who]
+            size = self.at_table[first + k]
+            again = np.flatnonzero(((r - who) * size >= size - d) & (t[more] > 1))
+            more, first, many = more[again], first[again], many[again]
+            r = rng.random(len(more)) * many
+        more = np.flatnonzero(opened)
+        k, room = c[more], self.room[at[more]]
+        while len(more):  # a free number
+            table[more] = k
+            busy = self.at_table[o[more] + k] > 0
+            more, room = more[busy], room[busy]
+            k = (rng.random(len(more)) * room).astype(np.int64)
+        self.at_table[o + table] += 1
+        self.table[o + c] = table
+        self.c[at] = c + 1
+        self.t[at] = t + opened
         return opened
 
+    def leave_one(self, i: int, draw: Callable[[], float]) -> bool:
+        """``leave`` of one dish."""
+        v = self.view
+        o, c = v.o[i], v.c[i]
+        p = o + int(draw() * c)
+        k = o + v.table[p]
+        v.table[p] = v.table[o + c - 1]
+        left = v.at_table[k] - 1
+        v.at_table[k] = left
+        v.c[i] = c - 1
+        v.t[i] -= not left
+        return not left
+
+    def sit_one(self, i: int, a: float, d: float, draw: Callable[[], float]) -> bool:
+        """``sit`` of one dish."""
+        v = self.view
+        o, c, t = v.o[i], v.c[i], v.t[i]
+        opened = not t or draw() * (a + c - d * t) < a
+        if opened:
+            k = c
+            while v.at_table[o + k]:
+                k = int(draw() * v.room[i])
+        else:
+            k = v.table[o + int(draw() * c)]
+            while t > 1 and draw() * (size := v.at_table[o + k]) >= size - d:
+                k = v.table[o + int(draw() * c)]
+        v.at_table[o + k] += 1
+        v.table[o + c] = k
+        v.c[i] = c + 1
+        v.t[i] = t + opened
+        return opened
+
+    def reseat(self, i: int, mass: Callable[[bool], float], moved: Callable[[int], None], d: float, draw: Callable[[], float]) -> None:
+        """Every customer of dish i leaves and is seated again, one after the other.
+
+        mass: a as in ``sit``, with the customer's table closed or not; moved: called when there is a table more or less.
+        """
+        v = self.view
+        o, c, t, room = v.o[i], v.c[i], v.t[i], v.room[i]
+        table, at_table = v.table[o : o + c], v.at_table[o : o + room]
+        a, others = mass(False), c - 1
+        for p in range(c):
+            k = table[p]
+            left = at_table[k] - 1
+            at_table[k] = left
+            if left:
+                new = a
+            else:
+                t -= 1
+                new = mass(True)
+            if not t or draw() * (new + others - d * t) < new:
+                t += 1
+                if left:
+                    while at_table[k]:
+                        k = int(draw() * room)
+                    v.t[i] = t
+                    moved(1)
+                    a = mass(False)
+            else:
+                while True:
+                    k = draw() * others
+                    r = int(k)
+                    odds = k - r
+                    k = table[r + (r >= p)]
+                    size = at_table[k]
+                    if t == 1 or odds * size < size - d:
+                        break
+                if not left:
+                    v.t[i] = t
+                    moved(-1)
+                    a = mass(False)
+            at_table[k] += 1
+            table[p] = k
+
     def take(self, at: np.ndarray) -> Seats:
         """Seats of some dishes (in order)."""
-        some = np.searchsorted(self.several, at[self.t[at] > 1])
-        t = self.t[self.several]
-        return Seats(self.c[at], self.t[at], self.size[ragged((np.cumsum(t) - t)[some], t[some])])
+        x = self.at_table[ragged(self.o[some := at[self.t[at] > 1]], self.room[some])]
+        return Seats(self.c[at], self.t[at], x[x > 0])
 
     def put(self, at: np.ndarray, other: Seats) -> None:
-        tables = self.t[self.several]
-        stay = ~np.isin(self.several, at)
-        kept, size = self.several[stay], self.size[np.repeat(stay, tables)]
-        place = np.searchsorted(kept, at[other.several])
-        begin = np.concatenate([[0], np.cumsum(self.t[kept])])
-        self.size = np.insert(size, np.repeat(begin[place], other.t[other.several]), other.size)
-        self.several = np.insert(kept, place, at[other.several])
+        """Those of ``take`` in their places again."""
+        self.at_table[ragged(self.o[at], self.room[at])] = 0
+        t, c = np.repeat(self.o[at] - other.o, other.room), ragged(other.o, other.c)
+        self.at_table[np.arange(len(t)) + t] = other.at_table
+        self.table[c + np.repeat(self.o[at] - other.o, other.c)] = other.table[c]
         self.c[at], self.t[at] = other.c, other.t
 
     def packed(self) -> list[np.ndarray]:
         return [*shrink(self.t), *shrink(self.size)]
 
 
+def turns(c: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(dishes, customer of each to leave) so that each customer of the dishes is met once; order: dishes by c, descending."""
+    c = c[order]
+    for k in range(int(c[0]) if len(c) else 0):  # from the last number down: those above have been seated again
+        n = np.searchsorted(-c, -k)
+        yield order[:n], c[:n] - 1 - k
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     out = np.zeros_like(x)
@@ -273,8 +379,8 @@ class Totals:
         self.C2, (self.V, *a) = fixed[:n].astype(float), fixed[n:]
         self.T2, self.T1 = seating[:n].astype(float), seating[n : n + langs.n].astype(float)
         few = [a, seating[n + langs.n : n + langs.n + 2], seating[n + langs.n + 2 :]]
-        self.d2, self.d1, self.d0 = (min(0.98, max(0.02, x / (x + 2 * y))) if x else 0.5 for x, y in few)
-        self.C1, self.C0, self.N = self.T2.reshape(langs.n, -1).sum(axis=1), self.T1.sum(), int(self.C2.sum())
+        self.d2, self.d1, self.d0 = (float(min(0.98, max(0.02, x / (x + 2 * y)))) if x else 0.5 for x, y in few)
+        self.C1, self.C0, self.N = self.T2.reshape(langs.n, -1).sum(axis=1), float(self.T1.sum()), int(self.C2.sum())
         self.s2, self.s1 = strength(self.C2, self.T2, self.d2), strength(self.C1, self.T1, self.d1)
         self.s0 = strength(np.array([self.C0]), np.array([self.V]), self.d0)
         # the part of each restaurant that its parent serves; of the root: that goes to words never seen
@@ -325,7 +431,7 @@ class Dishes:
         """Seats to start from."""
         share = self.c1(self.c) / np.maximum(g.C2.reshape(self.langs.n, -1).sum(axis=1), 1)[self.lang1]  # of the word in the language
         low = Seats.start(self.c[self.many], (g.s2 + g.d2 * g.T2[self.context[self.many]]) * share[self.middle[self.many]], g.d2)
-        return low, Seats.start(self.c1(self.t2(low.t)), (g.s1 + g.d1 * g.T1[self.lang1]) / max(g.V, 1.0), g.d1)
+        return low, Seats.start(self.c1(self.t2(low.t)), (g.s1 + g.d1 * g.T1[self.lang1]) / max(g.V, 1.0), g.d1, self.c1(self.c))
 
 
 class Middle:
@@ -333,65 +439,118 @@ class Middle:
 
     def __init__(self, x: Dishes, up: Seats, g: Totals, rng: np.random.Generator):
         self.x, self.up, self.g, self.rng, self.c0 = x, up, g, rng, x.c0(up.t)
-
-    def p0(self, of: np.ndarray, less: np.ndarray | int = 0) -> np.ndarray:
-        return np.maximum(self.c0[of] - less - self.g.d0, 0) / (self.g.s0 + self.g.C0 - less)
-
-    def probability(self, less: int) -> np.ndarray:
-        """Of each (word, language), with ``less`` customers of it away."""
-        g, c, lang = self.g, self.up.c - less, self.x.lang1
-        own = np.maximum(c - g.d1 * np.minimum(self.up.t, c), 0)
-        return (own + (g.s1 + g.d1 * g.T1[lang]) * self.p0(self.x.word1)) / (g.s1 + g.C1[lang] - less)
-
-    def _count(self, at: np.ndarray, tables: np.ndarray, sign: int) -> None:
-        n, lang = self.x.langs.n, self.x.lang1[at]
-        self.g.C1 += sign * np.bincount(lang, minlength=n)
-        self.g.T1 += sign * np.bincount(lang, tables, n)
-        np.add.at(self.c0, self.x.word1[at[tables]], sign)
-        self.g.C0 += sign * tables.sum()
-
-    def step(self, seats: Seats, of: np.ndarray, at: np.ndarray, come: bool) -> None:
-        """One customer leaves (or comes to) the dishes ``at`` of seats, which are those of[at] of the slice."""
-        if come:
-            a = (self.g.s1 + self.g.d1 * self.g.T1[self.x.lang1[of[at]]]) * self.p0(self.x.word1[of[at]])
-            self._count(of[at], seats.sit(at, a, self.g.d1, self.rng), 1)
-        else:
-            self._count(of[at], seats.leave(at, self.rng), -1)
-
-    def follow(self, net: np.ndarray) -> None:
+        self.draw = random.Random(int(rng.integers(1 << 62))).random
+        self.view = views(lang=x.lang1, word=x.word1, c0=self.c0, T1=g.T1, C1=g.C1)
+
+    def p0(self, word: np.ndarray, less: np.ndarray | int = 0) -> np.ndarray:
+        """Of words, with ``less`` tables of them away."""
+        return np.maximum(self.c0[word] - less - self.g.d0, 0) / (self.g.s0 + self.g.C0 - less)
+
+    def mass(self, at: np.ndarray, less: np.ndarray | int = 0) -> np.ndarray:
+        """Odds of a new table of (word, language), with ``less`` of its tables away."""
+        return (self.g.s1 + self.g.d1 * (self.g.T1[self.x.lang1[at]] - less)) * self.p0(self.x.word1[at], less)
+
+    def probability(self, at: np.ndarray | slice, away: int = 0, less: np.ndarray | int = 0) -> np.ndarray:
+        """Of (word, language), with ``away`` customers and ``less`` tables of it away."""
+        g, c = self.g, self.up.c[at] - away
+        own = np.maximum(c - g.d1 * (self.up.t[at] - less), 0)
+        return (own + self.mass(at, less)) / (g.s1 + g.C1[self.x.lang1[at]] - away)
+
+    def without_one(self, at: np.ndarray) -> np.ndarray:
+        """``probability`` without a random customer, and its table if it is alone there."""
+        o = self.up.o[at]
+        who = (self.rng.random(len(at)) * self.up.c[at]).astype(np.int64)
+        return self.probability(at, 1, self.up.at_table[o + self.up.table[o + who]] == 1)
+
+    def mass_one(self, at: int, less: int = 0) -> float:
+        """``mass`` of one."""
+        g, v = self.g, self.view
+        return (g.s1 + g.d1 * (v.T1[v.lang[at]] - less)) * max(v.c0[v.word[at]] - less - g.d0, 0.0) / (g.s0 + g.C0 - less)
+
+    def one(self, at: int, away: bool) -> float:
+        """``probability``, or ``without_one``, of one."""
+        g, v, up = self.g, self.view, self.up.view
+        c, o, less = up.c[at], up.o[at], 0
+        if away:
+            less = up.at_table[o + up.table[o + int(self.draw() * c)]] == 1
+        return (max(c - away - g.d1 * (up.t[at] - less), 0.0) + self.mass_one(at, less)) / (g.s1 + v.C1[v.lang[at]] - away)
+
+    def _count(self, at: np.ndarray, change: np.ndarray) -> None:
+        """Tables of (word, language) have opened or closed: customers of the root."""
+        np.add.at(self.g.T1, self.x.lang1[at], change)
+        np.add.at(self.c0, self.x.word1[at], change)
+        self.g.C0 += float(change.sum())
+
+    def _count_one(self, at: int, change: int) -> None:
+        v = self.view
+        v.T1[v.lang[at]] += change
+        v.c0[v.word[at]] += change
+        self.g.C0 += change
+
+    def follow(self, of: np.ndarray, change: np.ndarray) -> None:
         """Customers come and leave as tables below have opened and closed."""
-        of, seats, back = np.arange(len(net)), self.up, []
-        while len(at := np.flatnonzero(net)):
-            if 4 * len(at) < len(of):  # the rest is done: go on with these only
-                back.append((seats, at))
-                seats, of, net, at = seats.take(at), of[at], net[at], np.arange(len(at))
-            self.step(seats, of, at[net[at] < 0], False)
-            self.step(seats, of, at[net[at] > 0], True)
+        at, place = np.unique(of, return_inverse=True)
+        net = np.bincount(place, change).astype(np.int64)
+        np.add.at(self.g.C1, self.x.lang1[at], net)
+        while len(at := at[net != 0]):
+            net = net[net != 0]
+            less, more = at[net < 0], at[net > 0]
+            self._count(less, -self.up.leave(less, self.rng).astype(np.int64))
+            self._count(more, self.up.sit(more, self.mass(more), self.g.d1, self.rng).astype(np.int64))
             net = net - np.sign(net)
-        for outer, at in reversed(back):
-            outer.put(at, seats)
-            seats = outer
+
+    def follow_one(self, at: int, change: int) -> None:
+        self.view.C1[self.view.lang[at]] += change
+        if change < 0:
+            if self.up.leave_one(at, self.draw):
+                self._count_one(at, -1)
+        elif self.up.sit_one(at, self.mass_one(at), self.g.d1, self.draw):
+            self._count_one(at, 1)
 
     def reseat(self) -> None:
-        at, every = np.flatnonzero(self.up.c > 1), np.arange(len(self.up.c))
-        self.step(self.up, every, at, False)
-        self.step(self.up, every, at, True)
+        """Every customer leaves and is seated again."""
+        order = np.argsort(-self.up.c, kind="stable")[: np.count_nonzero(self.up.c > 1)]
+        for i in order[:ALONE].tolist():
+            self.up.reseat(i, partial(self.mass_one, i), partial(self._count_one, i), self.g.d1, self.draw)
+        for at, who in turns(self.up.c, order[ALONE:]):
+            closed = self.up.leave(at, self.rng, who)
+            opened = self.up.sit(at, self.mass(at, closed), self.g.d1, self.rng)
+            moved = np.flatnonzero(opened != closed)
+            self._count(at[moved], np.where(opened[moved], 1, -1))
 
 
 def rounds(x: Dishes, low: Seats, up: Seats, g: Totals, n: int, rng: np.random.Generator) -> None:
-    """n times one customer of every dish at both levels leaves and is seated again. Totals take this slice's changes."""
-    context, middle, every = x.context[x.many], x.middle[x.many], np.arange(len(x.many))
+    """n times every customer of every dish at both levels leaves and is seated again. Totals take this slice's changes."""
+    low.shuffle(rng), up.shuffle(rng)
+    context, middle, order = x.context[x.many], x.middle[x.many], np.argsort(-low.c, kind="stable")
     level = Middle(x, up, g, rng)
+
+    def one(i: int) -> None:
+        u, m, T2 = int(context[i]), int(middle[i]), memoryview(g.T2)
+
+        def mass(closed: bool) -> float:
+            return (g.s2 + g.d2 * (T2[u] - closed)) * level.one(m, closed)
+
+        def moved(change: int) -> None:
+            T2[u] += change
+            level.follow_one(m, change)
+
+        low.reseat(i, mass, moved, g.d2, level.draw)
+
     for _ in range(n):
-        closed = low.leave(every, rng)
-        p1 = level.probability(0)[middle]
-        if closed.any():
-            p1[closed] = level.probability(1)[middle[closed]]
-        opened = low.sit(every, (g.s2 + g.d2 * (g.T2[context] - closed)) * p1, g.d2, rng)
-        moved = np.flatnonzero(opened != closed)
-        change = np.where(opened[moved], 1, -1)
-        g.T2 += np.bincount(context[moved], change, x.langs.size)
-        level.follow(np.bincount(middle[moved], change, len(x.word1)).astype(np.int64))
+        for i in order[:ALONE].tolist():
+            one(i)
+        for at, who in turns(low.c, order[ALONE:]):
+            u, m = context[at], middle[at]
+            closed = low.leave(at, rng, who)
+            p1 = level.probability(m) if len(m) < len(x.word1) else level.probability(slice(None))[m]
+            if len(k := np.flatnonzero(closed)):
+                p1[k] = level.without_one(m[k])
+            opened = low.sit(at, (g.s2 + g.d2 * (g.T2[u] - closed)) * p1, g.d2, rng)
+            moved = np.flatnonzero(opened != closed)
+            change = np.where(opened[moved], 1, -1)
+            np.add.at(g.T2, u[moved], change)
+            level.follow(m[moved], change)
         level.reseat()
 
 
@@ -435,7 +594,7 @@ def _sample(g: Totals, langs: Languages, seed: int):
                 arrays = unpack(blob)
                 x = Dishes.unpacked(arrays[:6], langs)
                 t2, size2, t1, size1 = (grow(*arrays[i : i + 2]) for i in (6, 8, 10, 12))
-                low, up = Seats(x.c[x.many], t2, size2), Seats(x.c1(x.t2(t2)), t1, size1)
+                low, up = Seats(x.c[x.many], t2, size2), Seats(x.c1(x.t2(t2)), t1, size1, x.c1(x.c))
                 rng = np.random.default_rng([seed + 1, s])
                 kept, totals = [], [x.fixed()]
                 for _ in range(SAMPLES):
