@@ -11,8 +11,9 @@ Seating is sampled by Gibbs. A round is a full sweep: every customer of every di
 languages, leaves its table once, with that table's customer of the parent if it closes, and is seated again by the
 Chinese-restaurant rule: at a table in proportion to its size less the discount, at a new one in proportion to (strength +
 discount * tables) * the parent's probability, all counted without the one that left. The rule is the same for dishes of any
-size. The largest dishes of a slice go one by one; of the others one customer of each dish moves at a time, until all have.
-The table of each customer is kept. Customers of a language follow the net change of the tables below. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
+size. Most customers of a dish sit at one large table and return to it; how many do so in a row is drawn at once, by the geometric
+law of those single draws, and the others move one by one. The dishes with most of those go one after another; of the
+rest of a slice, one customer of each dish moves at a time. The table of each customer is kept. Customers of a language follow the net change of the tables below. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
 BETWEEN rounds apart, and a token's probability is the average of the kept seatings' predictive ones. Discounts come from counts of
 counts at each level, strengths from totals by the expectations of the usual auxiliary variables.
 
@@ -29,6 +30,7 @@ rows are scored each. An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections.abc import Callable, Iterator
@@ -48,8 +50,9 @@ BURN_IN, SAMPLES, BETWEEN = 8, 3, 4
 #: Context restaurants of all languages, and the most languages that are told apart.
 RESTAURANTS, LANGUAGES = 1 << 16, 1 << 12
 FLUSH, SLICES, SLICE_BYTES = 3_000_000, 24, 24_000_000
-#: So many of the largest dishes of a slice and level are reseated one by one; of the others, a customer of each at a time.
-ALONE = 512
+#: So many dishes of a slice and level, those with most customers away from the largest table, are swept one by one, the others together;
+#: so many move customers one by one.
+ALONE, FEW = 64, 32
 HELD_OUT = 10
 END, START = mix64(np.array([0xE0D, 0xB0E], U))
 
@@ -160,6 +163,9 @@ class Seats:
 
     A dish has ``room`` numbers from ``o`` on: for its customers' tables (``table``, in no order that tells of tables once shuffled)
     and for customers at a table (``at_table``; 0: no such table).
+
+    Most customers of a dish are at one large table, ``home``, and most of those return to it when they are seated again, which changes
+    nothing. A sweep draws how many do so in a row, until one does not, by the geometric law of as many single draws.
     """
 
     def __init__(self, c: np.ndarray, t: np.ndarray, size: np.ndarray, most: np.ndarray | None = None):
@@ -174,7 +180,8 @@ class Seats:
         every[many] = size
         self.at_table[at] = every
         self.table[ragged(self.o, self.c)] = np.repeat(at - np.repeat(self.o, self.t), every)
-        self.view = views(c=self.c, t=self.t, room=self.room, o=self.o, table=self.table, at_table=self.at_table)
+        self.home, self.list = self.table[self.o].copy(), np.zeros_like(self.table)
+        self.view = views(home=self.home, c=self.c, t=self.t, room=self.room, o=self.o, table=self.table, at_table=self.at_table)
 
     @classmethod
     def start(cls, c: np.ndarray, a: np.ndarray, d: float, most: np.ndarray | None = None) -> Seats:
@@ -202,13 +209,13 @@ class Seats:
         at = ragged(self.o[self.several], c)
         self.table[at] = self.table[at[np.argsort(np.repeat(np.arange(len(c)), c) + rng.random(len(at)))]]
 
-    def leave(self, at: np.ndarray, rng: np.random.Generator, who: np.ndarray | None = None) -> np.ndarray:
-        """One customer (a random one) leaves each of the dishes ``at`` (distinct, with a customer or more). True: its table closes.
+    def leave(self, at: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """One random customer leaves each of the dishes ``at`` (distinct, with a customer or more). True: its table closes.
 
         The last customer takes its number, and ``sit`` gives the last number.
         """
         o, c = self.o[at], self.c[at]
-        p = o + ((rng.random(len(at)) * c).astype(np.int64) if who is None else who)
+        p = o + (rng.random(len(at)) * c).astype(np.int64)
         k = o + self.table[p]
         self.table[p] = self.table[o + c - 1]
         left = self.at_table[k] - 1
@@ -280,47 +287,138 @@ class Seats:
         v.t[i] = t + opened
         return opened
 
-    def reseat(self, i: int, mass: Callable[[bool], float], moved: Callable[[int], None], d: float, draw: Callable[[], float]) -> None:
-        """Every customer of dish i leaves and is seated again, one after the other.
+    def away(self, at: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """A home for each of the dishes, the largest table or a large one; numbers of customers elsewhere, who are put in ``list``."""
+        o, c = self.o[at], self.c[at]
+        other = self.table[o + (rng.random(len(at)) * c).astype(np.int64)]
+        home = np.where(self.at_table[o + other] > self.at_table[o + self.home[at]], other, self.home[at])
+        self.home[at] = home
+        n = c - self.at_table[o + home]
+        some = np.flatnonzero(n)
+        o, c, n = o[some], c[some], n[some]
+        places = ragged(o, c)
+        far = np.flatnonzero(self.table[places] != np.repeat(home[some], c))
+        self.list[ragged(o, n)] = places[far] - np.repeat(o, n)
+        out = np.zeros(len(at), np.int64)
+        out[some] = n
+        return out
+
+    def largest(self, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Dishes and ``away`` of each, the ALONE with most in front."""
+        far = self.away(at, rng)
+        if len(at) > ALONE > 0:
+            order = np.argpartition(-far, ALONE)
+            at, far = at[order], far[order]
+        return at, far
+
+    def sweep(self, at: np.ndarray, far: np.ndarray, mass: Callable, less: Callable, moved: Callable, d: float, rng: np.random.Generator) -> None:
+        """Every customer of each of the dishes leaves and is seated again, by the rule of ``sit``, in the order of their numbers.
 
-        mass: a as in ``sit``, with the customer's table closed or not; moved: called when there is a table more or less.
+        far: customers of each that are not at home, listed. mass, less: a of dishes as in ``sit``, and where a table has closed;
+        moved: called with dishes and the changes of their numbers of tables. The next change of each dish is made at a time.
         """
+        i, m0, m, e, p = at, far, far.copy(), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        while len(i):
+            o, c, t, home = self.o[i], self.c[i], self.t[i], self.home[i]
+            a, n = mass(i), self.at_table[o + home]
+            with np.errstate(divide="ignore"):
+                back = (n - 1 - d) / (a + (c - 1) - d * t)  # the odds that one from home returns
+                after = np.log1p(-rng.random(len(i))) / np.minimum(np.log(np.where(n > 1, back, 0.0)), -1e-17)
+            far_next = np.where(e < m0, self.list[o + np.minimum(e, m0)], c)
+            leaves = p + after < far_next  # one from home, before the next of the others
+            go = np.flatnonzero(leaves | (far_next < c))
+            i, m0, m, e, p, o, c, t, home, a, after, far_next, leaves = (x[go] for x in (i, m0, m, e, p, o, c, t, home, a, after, far_next, leaves))
+            who = far_next
+            who[leaves] = p[leaves] + after[leaves].astype(np.int64)
+            e, p = e + ~leaves, who + 1
+            k = self.table[o + who]
+            left = self.at_table[o + k] - 1
+            self.at_table[o + k] = left
+            closed = left == 0
+            if len(x := np.flatnonzero(closed)):
+                a[x] = less(i[x])
+            t = t - closed
+            n = self.at_table[o + home]
+            here = n > 0
+            others = t - here  # tables
+            at_home = np.where(here & ~leaves, n - d, 0)
+            r = rng.random(len(i)) * (a + at_home + np.where(others > 0, (c - 1 - n) - d * others, 0)) - a
+            opened = (r < 0) | (t == 0) | ((others == 0) & leaves)
+            table = home.copy()
+            more = np.flatnonzero(~opened & (r >= at_home) & (others > 0))
+            while len(more):  # one of those listed, who may have come home, kept with (size - d) / size
+                first, z = o[more], rng.random(len(more)) * m[more]
+                x = z.astype(np.int64)
+                one = self.list[first + x]
+                table[more] = to = self.table[first + one]
+                size = self.at_table[first + to]
+                more = more[(to == home[more]) | (one == who[more]) | ((z - x) * size >= size - d)]
+            more = np.flatnonzero(opened)
+            free, room = np.where(closed[more], k[more], who[more]), self.room[i[more]]
+            while len(more):
+                table[more] = free
+                busy = self.at_table[o[more] + free] > 0
+                more, room = more[busy], room[busy]
+                free = (rng.random(len(more)) * room).astype(np.int64)
+            self.at_table[o + table] += 1
+            self.table[o + who] = table
+            self.t[i] = t + opened
+            x = np.flatnonzero(leaves)
+            self.list[o[x] + m[x]] = who[x]
+            m = m + leaves
+            if len(x := np.flatnonzero(opened != closed)):
+                moved(i[x], np.where(opened[x], 1, -1))
+
+    def sweep_one(self, i: int, far: int, mass: Callable[[bool], float], moved: Callable[[int], None], d: float, draw: Callable[[], float]) -> None:
+        """``sweep`` of one dish; mass: with the customer's table closed or not."""
         v = self.view
-        o, c, t, room = v.o[i], v.c[i], v.t[i], v.room[i]
-        table, at_table = v.table[o : o + c], v.at_table[o : o + room]
-        a, others = mass(False), c - 1
-        for p in range(c):
-            k = table[p]
+        o, c, t, room, home = v.o[i], v.c[i], v.t[i], v.room[i], v.home[i]
+        table, at_table, listed = v.table[o : o + c], v.at_table[o : o + room], self.list[o : o + far].tolist()
+        a, e, p = mass(False), 0, 0
+        while True:
+            who = listed[e] if e < far else c
+            leaves = False
+            if p < who:
+                n, after = at_table[home], 0
+                if n > 1:
+                    after = math.log(1 - draw()) / min(math.log((n - 1 - d) / (a + (c - 1) - d * t)), -1e-17)
+                if leaves := p + after < who:
+                    who = p + int(after)
+            if who == c:
+                return
+            e, p = e + (not leaves), who + 1
+            k = table[who]
             left = at_table[k] - 1
             at_table[k] = left
-            if left:
-                new = a
-            else:
+            new = a
+            if not left:
                 t -= 1
                 new = mass(True)
-            if not t or draw() * (new + others - d * t) < new:
+            n = at_table[home]
+            others = t - (n > 0)
+            at_home = n - d if n and not leaves else 0.0
+            r = draw() * (new + at_home + ((c - 1 - n) - d * others if others else 0.0)) - new
+            if r < 0 or not t or (not others and leaves):
                 t += 1
-                if left:
-                    while at_table[k]:
-                        k = int(draw() * room)
-                    v.t[i] = t
-                    moved(1)
-                    a = mass(False)
+                while at_table[k]:
+                    k = int(draw() * room)
+                change = 1 if left else 0
             else:
-                while True:
-                    k = draw() * others
-                    r = int(k)
-                    odds = k - r
-                    k = table[r + (r >= p)]
-                    size = at_table[k]
-                    if t == 1 or odds * size < size - d:
-                        break
-                if not left:
-                    v.t[i] = t
-                    moved(-1)
-                    a = mass(False)
+                k, change = home, 0 if left else -1
+                if r >= at_home and others:
+                    while True:
+                        one = listed[int(draw() * len(listed))]
+                        k = table[one]
+                        if k != home and one != who and draw() * (size := at_table[k]) < size - d:
+                            break
+            if change:
+                v.t[i] = t
+                moved(change)
+                a = mass(False)
             at_table[k] += 1
-            table[p] = k
+            table[who] = k
+            if leaves:
+                listed.append(who)
 
     def take(self, at: np.ndarray) -> Seats:
         """Seats of some dishes (in order)."""
@@ -339,14 +437,6 @@ class Seats:
         return [*shrink(self.t), *shrink(self.size)]
 
 
-def turns(c: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(dishes, customer of each to leave) so that each customer of the dishes is met once; order: dishes by c, descending."""
-    c = c[order]
-    for k in range(int(c[0]) if len(c) else 0):  # from the last number down: those above have been seated again
-        n = np.searchsorted(-c, -k)
-        yield order[:n], c[:n] - 1 - k
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     out = np.zeros_like(x)
@@ -491,9 +581,14 @@ class Middle:
         """Customers come and leave as tables below have opened and closed."""
         at, place = np.unique(of, return_inverse=True)
         net = np.bincount(place, change).astype(np.int64)
-        np.add.at(self.g.C1, self.x.lang1[at], net)
         while len(at := at[net != 0]):
             net = net[net != 0]
+            if len(at) <= FEW:
+                for i, change in zip(at.tolist(), net.tolist(), strict=True):
+                    for _ in range(abs(change)):
+                        self.follow_one(i, 1 if change > 0 else -1)
+                return
+            np.add.at(self.g.C1, self.x.lang1[at], np.sign(net))
             less, more = at[net < 0], at[net > 0]
             self._count(less, -self.up.leave(less, self.rng).astype(np.int64))
             self._count(more, self.up.sit(more, self.mass(more), self.g.d1, self.rng).astype(np.int64))
@@ -509,48 +604,47 @@ class Middle:
 
     def reseat(self) -> None:
         """Every customer leaves and is seated again."""
-        order = np.argsort(-self.up.c, kind="stable")[: np.count_nonzero(self.up.c > 1)]
-        for i in order[:ALONE].tolist():
-            self.up.reseat(i, partial(self.mass_one, i), partial(self._count_one, i), self.g.d1, self.draw)
-        for at, who in turns(self.up.c, order[ALONE:]):
-            closed = self.up.leave(at, self.rng, who)
-            opened = self.up.sit(at, self.mass(at, closed), self.g.d1, self.rng)
-            moved = np.flatnonzero(opened != closed)
-            self._count(at[moved], np.where(opened[moved], 1, -1))
+        at, far = self.up.largest(np.flatnonzero(self.up.c > 1), self.rng)
+        for i, n in zip(at[:ALONE].tolist(), far[:ALONE].tolist(), strict=True):
+            self.up.sweep_one(i, n, partial(self.mass_one, i), partial(self._count_one, i), self.g.d1, self.draw)
+        self.up.sweep(at[ALONE:], far[ALONE:], self.mass, partial(self.mass, less=1), self._count, self.g.d1, self.rng)
 
 
 def rounds(x: Dishes, low: Seats, up: Seats, g: Totals, n: int, rng: np.random.Generator) -> None:
     """n times every customer of every dish at both levels leaves and is seated again. Totals take this slice's changes."""
     low.shuffle(rng), up.shuffle(rng)
-    context, middle, order = x.context[x.many], x.middle[x.many], np.argsort(-low.c, kind="stable")
+    context, middle = x.context[x.many], x.middle[x.many]
     level = Middle(x, up, g, rng)
 
-    def one(i: int) -> None:
+    def mass(at: np.ndarray) -> np.ndarray:
+        m = middle[at]
+        p1 = level.probability(m) if len(m) < len(x.word1) else level.probability(slice(None))[m]
+        return (g.s2 + g.d2 * g.T2[context[at]]) * p1
+
+    def less(at: np.ndarray) -> np.ndarray:
+        return (g.s2 + g.d2 * (g.T2[context[at]] - 1)) * level.without_one(middle[at])
+
+    def moved(at: np.ndarray, change: np.ndarray) -> None:
+        np.add.at(g.T2, context[at], change)
+        level.follow(middle[at], change)
+
+    def one(i: int, far: int) -> None:
         u, m, T2 = int(context[i]), int(middle[i]), memoryview(g.T2)
 
-        def mass(closed: bool) -> float:
+        def mass_one(closed: bool) -> float:
             return (g.s2 + g.d2 * (T2[u] - closed)) * level.one(m, closed)
 
-        def moved(change: int) -> None:
+        def moved_one(change: int) -> None:
             T2[u] += change
             level.follow_one(m, change)
 
-        low.reseat(i, mass, moved, g.d2, level.draw)
+        low.sweep_one(i, far, mass_one, moved_one, g.d2, level.draw)
 
     for _ in range(n):
-        for i in order[:ALONE].tolist():
-            one(i)
-        for at, who in turns(low.c, order[ALONE:]):
-            u, m = context[at], middle[at]
-            closed = low.leave(at, rng, who)
-            p1 = level.probability(m) if len(m) < len(x.word1) else level.probability(slice(None))[m]
-            if len(k := np.flatnonzero(closed)):
-                p1[k] = level.without_one(m[k])
-            opened = low.sit(at, (g.s2 + g.d2 * (g.T2[u] - closed)) * p1, g.d2, rng)
-            moved = np.flatnonzero(opened != closed)
-            change = np.where(opened[moved], 1, -1)
-            np.add.at(g.T2, u[moved], change)
-            level.follow(m[moved], change)
+        at, far = low.largest(np.arange(len(low.c)), rng)
+        for i, k in zip(at[:ALONE].tolist(), far[:ALONE].tolist(), strict=True):
+            one(i, k)
+        low.sweep(at[ALONE:], far[ALONE:], mass, less, moved, g.d2, rng)
         level.reseat()
 
 
