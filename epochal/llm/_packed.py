@@ -6,8 +6,10 @@ the size of the input as the optimizer estimates it, so that a slice fits in a t
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,35 @@ def slice_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's ``malloc_trim``, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: the allocators of C and Arrow keep it else as long as the process lives."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn of a task, after which its memory is released: Spark keeps workers, and the JVM beside them needs the room in later stages."""
+
+    @wraps(fn)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(it)
+        finally:
+            release()
+
+    return run
+
+
 def cut_by(slices: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds): rows order[bounds[s]:bounds[s + 1]] belong to slice s, in their old order."""
     order = np.argsort(slices.astype(np.uint16) if n < 65536 else slices, kind="stable")
@@ -87,8 +118,9 @@ def gathered(df: DataFrame, n: int, fn: Callable[[int, list[bytes]], Iterable[pa
                 held[k].append(blob)
         for k in sorted(held):
             yield from fn(k, held.pop(k))
+            release()
 
-    return df.repartitionById(n, F.col("slice")).mapInArrow(run, schema)
+    return df.repartitionById(n, F.col("slice")).mapInArrow(tidy(run), schema)
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from epochal.llm._components import components
-from epochal.llm._packed import SLICED, batches, cut_by, gathered, pack, ragged, runs, slice_of, unpack
+from epochal.llm._packed import SLICED, batches, cut_by, gathered, pack, ragged, runs, slice_of, tidy, unpack
 from epochal.llm._spark import cut, free, parallelism, table
 from epochal.llm._text import U, Words, chunks, mix64, shingles, signed, to_bytes
 
@@ -375,15 +375,15 @@ def _linked(source: DataFrame, k: int, percent: int, components_only: bool) -> t
     spark, p, q = source.sparkSession, percent, 100
     n_slices = parallelism(spark)
     kind = source.schema["id"].dataType.simpleString()
-    scanned = cut(source.mapInArrow(_scan(k), f"id {kind}, n long, fp long, hot array<long>"))
+    scanned = cut(source.mapInArrow(tidy(_scan(k)), f"id {kind}, n long, fp long, hot array<long>"))
     sets = scanned.select("id", "n", "fp")
     hot = np.array([r[0] for r in scanned.select(F.explode("hot").alias("h")).distinct().collect()], np.int64).view(U)
-    dealt = source.select("text").mapInArrow(_deal(k, n_slices, p, q, hot), SLICED)
+    dealt = source.select("text").mapInArrow(tidy(_deal(k, n_slices, p, q, hot)), SLICED)
     counted = gathered(dealt, n_slices, _count(n_slices), SLICED)
     alive = cut(gathered(counted, n_slices, _survivors(p, q), _SET))
-    posted = cut(alive.select("fp", "prefix", "tok", "df").mapInArrow(_postings(n_slices), SLICED))
+    posted = cut(alive.select("fp", "prefix", "tok", "df").mapInArrow(tidy(_postings(n_slices)), SLICED))
     chains = gathered(posted.where("slice >= 0"), n_slices, _chain, "a long, b long").union(
-        posted.where("slice < 0").mapInArrow(_own_chains, "a long, b long")
+        posted.where("slice < 0").mapInArrow(tidy(_own_chains), "a long, b long")
     )
     family = components(chains).withColumnRenamed("v", "fp").withColumnRenamed("root", "family")
     members = cut(alive.join(family, "fp"))
@@ -394,7 +394,7 @@ def _linked(source: DataFrame, k: int, percent: int, components_only: bool) -> t
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = blocked.withColumn("__other", other).withColumn("i", F.least("block", "__other")).withColumn("j", F.greatest("block", "__other"))
     tasks = paired.repartition(n_slices, "family", "i", "j").sortWithinPartitions("family", "i", "j", "fp")
-    verified = tasks.select("fp", "n", "prefix", "tok", "df", "family", "i", "j", "block").mapInArrow(_verify(p, q, components_only), "a long, b long, n long")
+    verified = tasks.select("fp", "n", "prefix", "tok", "df", "family", "i", "j", "block").mapInArrow(tidy(_verify(p, q, components_only)), "a long, b long, n long")
     links = cut(verified)
     roots = components(links.where("a <> b")).withColumnRenamed("v", "fp")
     numbers = links.where("a = b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("n_links"))
@@ -459,7 +459,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n, fp, of, least = free(docs.columns, "__n", "__fp", "__set", "__id")
     keep = best.select(F.col("s.fp").alias(of), F.col("s.least").alias(least))
     schema = StructType([*docs.schema.fields, StructField(n, LongType()), StructField(fp, LongType())])
-    rows = docs.mapInArrow(_with_sets(5, docs.columns.index("text"), [n, fp]), schema)
+    rows = docs.mapInArrow(tidy(_with_sets(5, docs.columns.index("text"), [n, fp])), schema)
     held = rows.join(keep, F.col(fp) == F.col(of), "left")
     held = held.where((F.col(n) == 0) | (F.col(of).isNotNull() & F.col("doc_id").eqNullSafe(F.col(least))))
     return held.dropDuplicates([fp]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm._packed import ragged
+from epochal.llm._packed import ragged, tidy
 from epochal.llm._spark import free, table
 from epochal.llm._text import RangeHash, U, chunks, mix64, to_bytes
 
@@ -300,7 +300,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     names = free(docs.columns, "__text", "__id")
     body = docs.select(F.col(f"`{text}`").cast("string").alias(names[0]), F.col(f"`{id_col}`").alias(names[1]), *(F.col(f"`{c}`") for c in rest))
     fields = "".join(f", `{c}` {body.schema[2 + k].dataType.simpleString()}" for k, c in enumerate(rest))
-    return body.mapInArrow(run, "pieces array<int>, lossless boolean" + fields).select(*(F.col(f"`{c}`") for c in rest), "pieces", "lossless")
+    return body.mapInArrow(tidy(run), "pieces array<int>, lossless boolean" + fields).select(*(F.col(f"`{c}`") for c in rest), "pieces", "lossless")
 
 
 def decode_pieces(encoded: DataFrame, pieces: str = "pieces", model: str = MODEL) -> DataFrame:
@@ -321,7 +321,7 @@ def decode_pieces(encoded: DataFrame, pieces: str = "pieces", model: str = MODEL
 
     body = encoded.select(F.col(f"`{pieces}`"), *(F.col(f"`{c}`") for c in rest))
     fields = "".join(f", `{c}` {body.schema[1 + k].dataType.simpleString()}" for k, c in enumerate(rest))
-    return body.mapInArrow(run, "text string" + fields)
+    return body.mapInArrow(tidy(run), "text string" + fields)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

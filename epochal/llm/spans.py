@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from epochal.llm._packed import SLICED, batches, gathered, pack, runs, slice_of, slices_for, unpack
+from epochal.llm._packed import SLICED, batches, gathered, pack, runs, slice_of, slices_for, tidy, unpack
 from epochal.llm._spark import cut, table
 from epochal.llm._text import RangeHash, U, Words, chunks, mix64, signed, to_bytes
 
@@ -251,12 +251,12 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "
         F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("fp"),
         F.col(f"`{text}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"),
     )
-    sent = body.select("id", "fp", "text").where(F.length("text") > 0).mapInArrow(_runs(n), SLICED)
+    sent = body.select("id", "fp", "text").where(F.length("text") > 0).mapInArrow(tidy(_runs(n)), SLICED)
     marks = cut(gathered(gathered(sent, n, _find(n), SLICED), n, _gather, _MARKS))
     same = (body["fp"] == marks["fp"]) & body["id"].eqNullSafe(marks["id"])
     ready = body.join(marks, same, "left").select(body["text"], "first", "size", "rest")
     schema = [StructField("n", LongType()), StructField("gone", LongType()), StructField("text", StringType()), StructField("rest", ready.schema["rest"].dataType)]
-    done = ready.mapInArrow(_rewrite, StructType(schema))
+    done = ready.mapInArrow(tidy(_rewrite), StructType(schema))
     kept = (F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c == text or c in rest)
     return done.select(*kept, F.col("n").alias("n_sentences"), F.col("gone").alias("n_removed"))
 
