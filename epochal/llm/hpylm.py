@@ -7,13 +7,12 @@ RESTAURANTS numbers whatever the corpus; dishes (class, word) grow with it. The
 seen: every known word has one table there and the new-table mass is the probability of an unknown word, so that known words and
 "unknown" sum to one in every context.
 
-Seating is sampled by Gibbs. A round is a full sweep: every customer of every dish of each restaurant, of contexts and then of
-languages, leaves its table once, with that table's customer of the parent if it closes, and is seated again by the
-Chinese-restaurant rule: at a table in proportion to its size less the discount, at a new one in proportion to (strength +
-discount * tables) * the parent's probability, all counted without the one that left. The rule is the same for dishes of any
-size. Most customers of a dish sit at one large table and return to it; how many do so in a row is drawn at once, by the geometric
-law of those single draws, and the others move one by one. The dishes with most of those go one after another; of the
-rest of a slice, one customer of each dish moves at a time. The table of each customer is kept. Customers of a language follow the net change of the tables below. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
+Seating is sampled by Gibbs. In a round all customers of every dish of each restaurant, of contexts and of languages, leave
+together and are seated again: the dish's number of tables is drawn from its exact distribution given all other dishes, by
+generalised Stirling numbers (``_tables``), where the seatings with that number are summed out. Probabilities need no more than these
+numbers. The law is that of the Chinese-restaurant rule, and the same for dishes of any size. Dishes of a parent of few dishes are drawn
+together with the parent's number. Dishes of a slice are drawn in groups one after another, those of one parent in different ones
+as far as they go. ``sweeps``, customer by customer, has the same law and is for tests only. Seating starts near the expected number of tables; after BURN_IN rounds it is kept SAMPLES times,
 BETWEEN rounds apart, and a token's probability is the average of the kept seatings' predictive ones. Discounts come from counts of
 counts at each level, strengths from totals by the expectations of the usual auxiliary variables.
 
@@ -44,6 +43,7 @@ from pyspark.sql import functions as F
 
 from epochal.llm._packed import SLICED, batches, gathered, grow, pack, ragged, runs, shrink, slice_of, slices_for, unpack
 from epochal.llm._spark import cut, table
+from epochal.llm._tables import Stirling, climb, draw_within
 from epochal.llm._text import RangeHash, U, Words, chunks, mix64, signed, to_bytes
 
 BURN_IN, SAMPLES, BETWEEN = 8, 3, 4
@@ -53,6 +53,8 @@ FLUSH, SLICES, SLICE_BYTES = 3_000_000, 24, 24_000_000
 #: So many dishes of a slice and level, those with most customers away from the largest table, are swept one by one, the others together;
 #: so many move customers one by one.
 ALONE, FEW = 64, 32
+#: Dishes of a slice and level are drawn in so many groups one after another; those of a parent of at most CLOSE dishes, together with its tables.
+GROUPS, CLOSE = 32, 4
 HELD_OUT = 10
 END, START = mix64(np.array([0xE0D, 0xB0E], U))
 
@@ -433,8 +435,30 @@ class Seats:
         self.table[c + np.repeat(self.o[at] - other.o, other.c)] = other.table[c]
         self.c[at], self.t[at] = other.c, other.t
 
-    def packed(self) -> list[np.ndarray]:
-        return [*shrink(self.t), *shrink(self.size)]
+
+class Tables:
+    """Customers and numbers of tables of many dishes."""
+
+    def __init__(self, c: np.ndarray, t: np.ndarray):
+        self.c, self.t = c.astype(np.int64), t.astype(np.int64)
+
+    @classmethod
+    def start(cls, c: np.ndarray, a: np.ndarray, d: float) -> Tables:
+        """About as many tables as c customers open; a: (strength + d * tables) * the parent's probability."""
+        return cls(c, np.clip(np.round(1 + a * np.log((a + c - d) / (a + 1 - d))), 1, c))
+
+    @property
+    def several(self) -> np.ndarray:
+        """Dishes of more than one table."""
+        return np.flatnonzero(self.t > 1)
+
+    @property
+    def size(self) -> np.ndarray:
+        """Sizes of tables of ``several``, in a row, in one of the seatings with these numbers: all but the first have one customer."""
+        t = self.t[self.several]
+        out = np.ones(int(t.sum()), np.int64)
+        out[np.cumsum(t) - t] += self.c[self.several] - t
+        return out
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -517,11 +541,11 @@ class Dishes:
         few = [(c1 == 1).sum(), (c1 == 2).sum(), (c0 == 1).sum(), (c0 == 2).sum()]
         return np.concatenate([np.bincount(self.context, t2, self.langs.size), np.bincount(self.lang1, t1, self.langs.n), few]).astype(np.int64)
 
-    def seated(self, g: Totals) -> tuple[Seats, Seats]:
-        """Seats to start from."""
+    def seated(self, g: Totals) -> tuple[Tables, Tables]:
+        """Tables to start from."""
         share = self.c1(self.c) / np.maximum(g.C2.reshape(self.langs.n, -1).sum(axis=1), 1)[self.lang1]  # of the word in the language
-        low = Seats.start(self.c[self.many], (g.s2 + g.d2 * g.T2[self.context[self.many]]) * share[self.middle[self.many]], g.d2)
-        return low, Seats.start(self.c1(self.t2(low.t)), (g.s1 + g.d1 * g.T1[self.lang1]) / max(g.V, 1.0), g.d1, self.c1(self.c))
+        low = Tables.start(self.c[self.many], (g.s2 + g.d2 * g.T2[self.context[self.many]]) * share[self.middle[self.many]], g.d2)
+        return low, Tables.start(self.c1(self.t2(low.t)), (g.s1 + g.d1 * g.T1[self.lang1]) / max(g.V, 1.0), g.d1)
 
 
 class Middle:
@@ -610,8 +634,8 @@ class Middle:
         self.up.sweep(at[ALONE:], far[ALONE:], self.mass, partial(self.mass, less=1), self._count, self.g.d1, self.rng)
 
 
-def rounds(x: Dishes, low: Seats, up: Seats, g: Totals, n: int, rng: np.random.Generator) -> None:
-    """n times every customer of every dish at both levels leaves and is seated again. Totals take this slice's changes."""
+def sweeps(x: Dishes, low: Seats, up: Seats, g: Totals, n: int, rng: np.random.Generator) -> None:
+    """``rounds``, customer by customer: slower by far, and kept to test them against."""
     low.shuffle(rng), up.shuffle(rng)
     context, middle = x.context[x.many], x.middle[x.many]
     level = Middle(x, up, g, rng)
@@ -648,6 +672,129 @@ def rounds(x: Dishes, low: Seats, up: Seats, g: Totals, n: int, rng: np.random.G
         level.reseat()
 
 
+class Draws:
+    """Numbers of tables of the dishes of a slice, each drawn at once given all others; seatings with the same numbers are summed out."""
+
+    def __init__(self, x: Dishes, low: Tables, up: Tables, g: Totals, rng: np.random.Generator):
+        self.x, self.low, self.up, self.g, self.rng = x, low, up, g, rng
+        self.context, self.middle, self.c0 = x.context[x.many], x.middle[x.many], x.c0(up.t)
+        self.s2 = Stirling(g.d2, int(low.c.max(initial=1)))
+        self.s1 = Stirling(g.d1, int(x.c1(x.c).max(initial=1)))
+        room = np.bincount(x.middle, x.c, len(x.word1))
+        close = ((np.bincount(self.middle, minlength=len(x.word1)) <= CLOSE) & (room <= self.s1.rows))[self.middle]
+        self.close, self.groups2 = self._groups(self.middle, close), self._groups(self.middle, ~close)
+        self.groups1 = self._groups(x.word1, np.ones(len(x.word1), bool))
+        # logs of S(c, t) of a dish are at values[start + t], for t from first to last
+        self.values, self.start = self.s2.flat, np.minimum(low.c, self.s2.rows) * self.s2.width
+        big = low.c > self.s2.rows
+        self.first, self.last = np.where(big, 1, 0), np.where(big, 0, low.c)
+        if len(big := np.flatnonzero(big)):
+            self._extend(big, low.t[big] // 2 - 32, np.minimum(2 * low.t[big], low.t[big] + low.c[big] // 4) + 64)
+
+    def _groups(self, of: np.ndarray, some: np.ndarray) -> list[np.ndarray]:
+        """GROUPS groups of some, those with the same parent (in a row) in different ones as far as they go."""
+        some = np.flatnonzero(some)
+        of = of[some]
+        first, size = runs(of)
+        order = np.argsort(np.repeat(np.arange(len(first)), size) + self.rng.random(len(of)))
+        rank = np.empty(len(of), np.int64)
+        rank[order] = np.arange(len(of)) - np.repeat(first, size)
+        group = (rank + np.repeat(self.rng.integers(GROUPS, size=len(first)), size)) % GROUPS
+        order, ends = np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=GROUPS))
+        return [i for i in np.split(some[order], ends[:-1]) if len(i)]
+
+    def _extend(self, i: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Values of dishes of more customers than the table has."""
+        first, last = np.maximum(first, 1), np.minimum(last, self.low.c[i])
+        size = last - first + 1
+        self.start[i], self.first[i], self.last[i] = len(self.values) + np.cumsum(size) - size - first, first, last
+        self.values = np.concatenate([self.values, self.s2.along_t(self.low.c[i], first, last)])
+
+    def _own(self, i: np.ndarray, low: np.ndarray, size: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Logs of S(c, k) of dishes i."""
+        if len(j := np.flatnonzero((low < self.first[i]) | (low + size - 1 > self.last[i]))):
+            self._extend(i[j], low[j] - size[j], low[j] + 2 * size[j])
+        return self.values[np.repeat(self.start[i], size) + k]
+
+    def _contexts(self, groups: list[np.ndarray], close: bool) -> None:
+        """The tables of (word, context) of some groups; if close, with their parents'."""
+        g, low, up = self.g, self.low, self.up
+        for i in groups:
+            m, u, t = self.middle[i], self.context[i], low.t[i]
+            lang, t1 = self.x.lang1[m], up.t[m]
+            tables, away, all_away = g.s2 / g.d2 + g.T2[u] - t, up.c[m] - t, g.s1 + g.C1[lang] - t
+
+            def weight(which: np.ndarray, low: np.ndarray, size: np.ndarray, i=i, m=m, tables=tables, away=away, all_away=all_away, t1=t1) -> np.ndarray:
+                k, r = ragged(low, size), np.repeat(which, size)
+                before = k - 1
+                more = g.d2 * (tables[r] + before) / (all_away[r] + before)
+                if close:
+                    return self._own(i[which], low, size, k) + climb(more, size) + self._served(m[r], away[r] + k)
+                return self._own(i[which], low, size, k) + climb(more * self.s1.growth(away[r] + before, t1[r]), size)
+
+            new = draw_within(np.maximum(1 if close else t1 - away, 1) + 0 * t, low.c[i], t, weight, self.rng)
+            j = np.flatnonzero(new != t)
+            change = (new - t)[j]
+            low.t[i[j]] = new[j]
+            np.add.at(up.c, m[j], change)
+            np.add.at(g.T2, u[j], change)
+            np.add.at(g.C1, lang[j], change)
+            if close:
+                self._languages(m)
+
+    def _up(self, i: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Of pairs (word, language) i[r], the factor that table k brings, but for the first, which the root has of each word in any case."""
+        g, t, word, lang = self.g, self.up.t[i], self.x.word1[i], self.x.lang1[i]
+        tables, away, all_away = g.s1 / g.d1 + g.T1[lang] - t, self.c0[word] - t - g.d0, g.s0 + (g.C0 - t)
+        return lambda r, k: g.d1 * (tables[r] + (k - 1)) * (away[r] + (k - 1)) / (all_away[r] + (k - 1))
+
+    def _served(self, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log weights of all seatings of n customers of pairs i at any number of tables."""
+        k, r = ragged(np.ones(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
+        weight = self.s1(n[r], k) + climb(self._up(i)(r, k), n)
+        first = np.cumsum(n) - n
+        top = np.maximum.reduceat(weight, first)
+        # ``climb`` is up to a constant of each row: that of its first, where S(n, 1) is the weight
+        start = weight[first] - self.s1(n, np.ones(len(n), np.int64))
+        return top - start + np.log(np.add.reduceat(np.exp(weight - top[r]), first))
+
+    def _languages(self, i: np.ndarray) -> None:
+        """The tables of pairs (word, language)."""
+        g, up, x = self.g, self.up, self.x
+        i = i[(up.c[i] > 1) | (up.t[i] > 1)]
+        if not len(i):
+            return
+        more, c, t = self._up(i), up.c[i], up.t[i]
+
+        def weight(which: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+            k, r = ragged(low, size), np.repeat(which, size)
+            return self.s1(c[r], k) + climb(more(r, k), size)
+
+        t = np.minimum(t, c)
+        change = draw_within(np.ones(len(i), np.int64), c, t, weight, self.rng) - up.t[i]
+        up.t[i] += change
+        np.add.at(self.c0, x.word1[i], change)
+        np.add.at(g.T1, x.lang1[i], change)
+        g.C0 += float(change.sum())
+
+    def rounds(self, n: int) -> None:
+        """n times all customers of every dish at both levels leave together and are seated again. Totals take this slice's changes.
+
+        Dishes that are drawn with their parent's tables cost little, and are drawn to and fro before and after the others.
+        """
+        to_and_fro = [*self.close, *self.close[::-1]]
+        for _ in range(n):
+            self._contexts(to_and_fro, True)
+            self._contexts(self.groups2, False)
+            for i in self.groups1:
+                self._languages(i)
+            self._contexts(to_and_fro, True)
+
+
+def rounds(x: Dishes, low: Tables, up: Tables, g: Totals, n: int, rng: np.random.Generator) -> None:
+    Draws(x, low, up, g, rng).rounds(n)
+
+
 _STATE = "slice int, state binary, totals binary"
 
 
@@ -673,7 +820,7 @@ def _dictionary(n_slices: int, langs: Languages, seed: int):
         low, up = x.seated(g)
         g = Totals(x.fixed() * n_slices, x.seating(low.t, up.t) * n_slices, langs)
         rounds(x, low, up, g, BURN_IN, np.random.default_rng([seed, s]))
-        yield _state_batch(s, [*x.packed(), *low.packed(), *up.packed()], [x.fixed(), x.seating(low.t, up.t)])
+        yield _state_batch(s, [*x.packed(), *shrink(low.t), *shrink(up.t)], [x.fixed(), x.seating(low.t, up.t)])
 
     return fn
 
@@ -687,12 +834,12 @@ def _sample(g: Totals, langs: Languages, seed: int):
                 own = _copy(g)
                 arrays = unpack(blob)
                 x = Dishes.unpacked(arrays[:6], langs)
-                t2, size2, t1, size1 = (grow(*arrays[i : i + 2]) for i in (6, 8, 10, 12))
-                low, up = Seats(x.c[x.many], t2, size2), Seats(x.c1(x.t2(t2)), t1, size1, x.c1(x.c))
-                rng = np.random.default_rng([seed + 1, s])
+                t2, t1 = (grow(*arrays[i : i + 2]) for i in (6, 8))
+                low, up = Tables(x.c[x.many], t2), Tables(x.c1(x.t2(t2)), t1)
+                level = Draws(x, low, up, own, np.random.default_rng([seed + 1, s]))
                 kept, totals = [], [x.fixed()]
                 for _ in range(SAMPLES):
-                    rounds(x, low, up, own, BETWEEN, rng)
+                    level.rounds(BETWEEN)
                     kept += [*shrink(low.t), *shrink(up.t)]
                     totals.append(x.seating(low.t, up.t))
                 yield _state_batch(s, [*x.packed(), *kept], totals)
